@@ -136,6 +136,7 @@ def top_k(
 
     def searched(data: DataFrame, queries: DataFrame) -> DataFrame:
         by = ["width", "shard", "block"]
+        queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # names of its own for the planner
         return written(
             data.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_searched(k), "query_id long, vec_id long, score long"), "found"
         )
