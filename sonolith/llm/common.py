@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,28 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once a row however often the body names it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+class Forest:
+    """Union-find inside a task; what leaves it is an edge for each node, to the smallest of its tree."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.parent.setdefault(x, x)
+        while up != x:
+            self.parent[x] = self.parent[up]
+            x, up = up, self.parent[up]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def flush(self) -> pa.RecordBatch:
+        """(a, b) edges; the forest starts anew."""
+        edges = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
+        self.parent = {}
+        a, b = zip(*edges, strict=True) if edges else ((), ())
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

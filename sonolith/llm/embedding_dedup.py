@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Forest, components, written
 from .shingles import mixed
 from .vectors import complete, matrix, rows_of
 
@@ -95,28 +95,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-class _Forest:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.parent.setdefault(x, x)
-        while up != x:
-            self.parent[x] = self.parent[up]
-            x, up = up, self.parent[up]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.parent[max(a, b)] = min(a, b)
-
-    def flush(self) -> pa.RecordBatch:
-        edges = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
-        self.parent = {}
-        a, b = zip(*edges, strict=True) if edges else ((), ())
-        return pa.record_batch(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(a), pa.int64())], ["a", "b", "links"]
-        )
+def _with_links(edges: pa.RecordBatch) -> pa.RecordBatch:
+    return edges.append_column("links", pa.array([0] * edges.num_rows, pa.int64()))
 
 
 def _linked(least: float):
@@ -125,7 +105,7 @@ def _linked(least: float):
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "part", "rep", "copies", "home", "v")), strict=True)
 
-        forest = _Forest()
+        forest = Forest()
         for (bucket, x, y), run in itertools.groupby(rows(), key=lambda r: r[:3]):
             run = list(run)
             if len(run) < 2:
@@ -161,8 +141,8 @@ def _linked(least: float):
                 [pa.array(rep[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], ["a", "b", "links"]
             )
             if len(forest.parent) > 200_000:
-                yield forest.flush()
-        yield forest.flush()
+                yield _with_links(forest.flush())
+        yield _with_links(forest.flush())
 
     return run
 

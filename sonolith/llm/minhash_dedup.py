@@ -11,30 +11,31 @@ left out, so equal keys find *every* pair within RADIUS. Links are confirmed on
 Work stays linear in a group's size where a group holds together:
 
 1. Equal sets are one class (grouped by a digest); only class representatives go on.
-2. Star rounds: in each key's group, members are compared with one pivot of another component, never
-   with all others. Confirmed links merge components; rounds go on while they find links.
+2. Star rounds: in each key's group, members are compared with one pivot, never with all others.
+   Confirmed links merge components.
 3. What is left are groups of one key that hold several components. Their pairs across components
-   are compared by signature inside tasks, in bounded blocks; only pairs within RADIUS come out,
-   to be confirmed. Pairs inside a component are not looked at: they can't change a result.
+   are compared by signature and confirmed on the full sets inside tasks, in bounded blocks, each pair
+   under one key only; a spanning forest of the links comes out, never the pairs. Pairs inside a
+   component are not looked at: they can't change a result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Forest, components, written
 from .shingles import digest, mixed, shingle_set
 
 HASHES, BITS, RADIUS, CHUNK = 48, 16, 22, 4
 #: Rows of one key's group that a block holds; larger groups are compared block by block.
-BLOCK = 4096
-STAR_ROUNDS = 3
+BLOCK = 2048
+STAR_ROUNDS = 2
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -79,7 +80,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = np.full(len(values), k + 1, np.uint64)
                 for p in positions:
                     h = mixed((h << np.uint64(BITS)) ^ h ^ values[:, p])
-                yield pa.record_batch([pa.array(h.view(np.int64)), part.column(0)], ["key", "rep"])
+                number = pa.array(np.full(len(h), k, np.int16))
+                yield pa.record_batch([pa.array(h.view(np.int64)), number, part.column(0)], ["key", "number", "rep"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -90,57 +92,103 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            sets = [shingle_set(x).view(np.int64) for x in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within RADIUS, in each run of equal (key, x, y).
-
-    Rows come sorted by the run, with the block's side: a run of a split group holds the rows of the
-    blocks x and y and compares x with y only (all with all where x = y).
+            sets = [shingle_set(x) for x in part.column(1).to_pylist()]
+            signatures = [signature(s).tobytes() if len(s) else None for s in sets]
+            lists = pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([part.column(0), pa.array(signatures, pa.binary()), lists], ["rep", "signature", "shingles"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets, by products of 0/1 blocks."""
+    ids = np.unique(np.concatenate(left))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+        known = ids[at] == values
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], rows[known][order]
+
+    counts = np.zeros((len(left), len(right)), np.float32)
+    sides = [(places(left), len(left)), (places(right), len(right))]
+    for start in range(0, len(ids), 4096):
+        blocks = []
+        for (at, rows), n in sides:
+            i, j = np.searchsorted(at, [start, start + 4096])
+            block = np.zeros((n, 4096), np.float32)
+            block[rows[i:j], at[i:j] - start] = 1
+            blocks.append(block)
+        counts += blocks[0] @ blocks[1].T
+    return counts
+
+
+def _across(threshold: int):
+    """Links across components in each run of equal (key, x, y), as a forest.
+
+    Rows come sorted by the run. A run of a split group holds the rows of the blocks x and y and compares x
+    with y only (all with all where x = y). A pair that several keys bring together is confirmed under the
+    first of them only, which the signatures tell.
     """
-    import itertools
-
-    def rows():
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "part", "rep", "comp", "signature")), strict=True)
-
-    seen: set[tuple[int, int]] = set()
-    out: list[tuple[int, int]] = []
-
-    def flush():
-        a, b = zip(*out, strict=True) if out else ((), ())
-        out.clear()
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for (_, x, y), run in itertools.groupby(rows(), key=lambda r: r[:3]):
-        run = list(run)
-        if len(run) < 2:
-            continue
-        part = np.array([r[3] for r in run])
-        rep, comp = np.array([r[4] for r in run], np.int64), np.array([r[5] for r in run], np.int64)
+    kept = [list(k) for k in chunk_keys()]
+
+    def run_links(run: list[tuple], x: int, y: int) -> list[tuple[int, int]]:
+        number, part = run[0][3], np.array([r[4] for r in run])
+        rep, comp = np.array([r[5] for r in run], np.int64), np.array([r[6] for r in run], np.int64)
         if (comp == comp[0]).all():
-            continue
-        values = np.frombuffer(b"".join(r[6] for r in run), "<u2").reshape(-1, HASHES)
+            return []
+        values = np.frombuffer(b"".join(r[7] for r in run), "<u2").reshape(-1, HASHES)
+        size = np.array([len(r[8]) for r in run])
         left, right = (np.flatnonzero(part == x), np.flatnonzero(part == y)) if x != y else (np.arange(len(run)),) * 2
-        for i in range(0, len(left), 64):
-            block = left[i : i + 64]
+        links = []
+        for i in range(0, len(left), 128):
+            block = left[i : i + 128]
             distance = np.zeros((len(block), len(right)), np.uint8)
             for k in range(HASHES):
                 distance += values[block, k][:, None] != values[right, k][None, :]
             near = (distance <= RADIUS) & (comp[block][:, None] != comp[right][None, :])
-            for p, q in zip(*np.nonzero(near), strict=True):
-                pair = int(rep[block[p]]), int(rep[right[q]])
-                pair = (min(pair), max(pair))
-                if pair not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(pair)
-                    out.append(pair)
-        if len(out) > 10_000:
-            yield flush()
-    yield flush()
+            if x == y:
+                near &= block[:, None] < right[None, :]
+            p, q = np.nonzero(near)
+            first = np.ones(len(p), bool)
+            for positions in kept[:number]:
+                same = np.ones(len(p), bool)
+                for k in positions:
+                    same &= values[block[p], k] == values[right[q], k]
+                first &= ~same
+            p, q = p[first], q[first]
+            if not len(p):
+                continue
+            if len(p) > 2 * len(run):
+                some_p, at_p = np.unique(p, return_inverse=True)
+                some_q, at_q = np.unique(q, return_inverse=True)
+                both = overlaps([run[j][8] for j in block[some_p]], [run[j][8] for j in right[some_q]])[at_p, at_q].astype(np.int64)
+            else:
+                both = np.array(
+                    [len(np.intersect1d(run[block[m]][8], run[right[n]][8], assume_unique=True)) for m, n in zip(p, q, strict=True)]
+                )
+            linked = both * 100 >= (size[block[p]] + size[right[q]] - both) * threshold
+            links += zip(rep[block[p[linked]]].tolist(), rep[right[q[linked]]].tolist(), strict=True)
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            names = ("key", "x", "y", "number", "part", "rep", "comp", "signature")
+            for batch in batches:
+                sets = batch.column("shingles")
+                offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+                columns = [batch.column(c).to_pylist() for c in names]
+                for i, row in enumerate(zip(*columns, strict=True)):
+                    yield (*row, flat[offsets[i] : offsets[i + 1]].copy())
+
+        forest = Forest()
+        for (_, x, y), same in groupby(rows(), key=lambda r: r[:3]):
+            for a, b in run_links(list(same), x, y):
+                forest.join(a, b)
+            if len(forest.parent) > 100_000:
+                yield forest.flush()
+        yield forest.flush()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
@@ -167,43 +215,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).where("a <> b")
     reps = classes.select("rep", "signature")
 
-    keys = reps.mapInArrow(_keys, "key long, rep long")
+    keys = reps.mapInArrow(_keys, "key long, number short, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = written(keys.join(shared.select("key"), "key"), "members")
 
     involved = members.select("rep").distinct()
     texts = docs.join(involved, docs.doc_id == involved.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = written(texts.mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
-
-    links, tried, current = None, None, members.withColumn("comp", F.col("rep"))
-    for _ in range(STAR_ROUNDS):
-        least = current.groupBy("key").agg(F.min(F.struct("comp", "rep")).alias("pivot"), F.max("comp").alias("most"))
-        least = least.where("pivot.comp < most").select("key", F.col("pivot.comp").alias("pc"), F.col("pivot.rep").alias("b"))
-        pairs = current.join(least, "key").where("comp <> pc").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"))
-        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = written(_confirmed(pairs, reps, sets, threshold), "checked")
-        new = checked.where("linked").select("a", "b")
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        if new.isEmpty():
-            break
+    sets = written(texts.mapInArrow(_sets, "rep long, signature binary, shingles array<long>"), "sets")
+
+    links, current = None, members.withColumn("comp", F.col("rep"))
+    for turn in range(STAR_ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "comp", "rep"))
+        pivots = current.groupBy("key").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        pairs = current.join(pivots.select("key", F.col("p.comp").alias("pc"), F.col("p.rep").alias("b")), "key").where("comp <> pc")
+        # Of several keys' pivots, the one that shares the most keys.
+        pairs = pairs.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"))
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        new = written(_confirmed(pairs, sets, threshold), "checked").where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         current = _labelled(members, links)
 
-    mixed_keys = current.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    open_rows = current.join(mixed_keys.select("key", "n"), "key").join(reps, "rep")
+    open_keys = current.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    open_rows = current.join(open_keys.select("key", "n"), "key")
     parts = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     open_rows = open_rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_rows = open_rows.select(
-        "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "comp", "signature"
+    open_rows = open_rows.join(sets.where("signature IS NOT NULL"), "rep").select(
+        "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "number", "part", "rep", "comp", "signature", "shingles"
     ).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    across = open_rows.mapInArrow(_across, "a long, b long").distinct()
-    if tried is not None:
-        across = across.join(tried, ["a", "b"], "left_anti")
-    last = written(_confirmed(across, None, sets, threshold), "checked").where("linked").select("a", "b")
+    last = written(open_rows.mapInArrow(_across(threshold), "a long, b long"), "across")
 
-    every = copies.unionByName(last if links is None else links.unionByName(last))
+    every = copies.unionByName(last) if links is None else copies.unionByName(links).unionByName(last)
     named_by = written(components(every), "components")
     component = F.coalesce("component", "doc_id")
     return sketch.join(named_by, sketch.doc_id == named_by.node, "left").select(
@@ -214,11 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     of = components(links)
     return written(
-        members.join(of, members.rep == of.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "labelled"
+        members.join(of, members.rep == of.node, "left").select("key", "number", "rep", F.coalesce("component", "rep").alias("comp")), "labelled"
     )
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b, linked): whether the full shingle sets of each pair are similar enough."""
     mine = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
