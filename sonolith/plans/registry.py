@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import features, signals, tables  # noqa: F401  (they register their queries)
+from .common import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
