@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 
-BY_FEATURE = Window.partitionBy("feature")
+
+def by_feature() -> WindowSpec:
+    return Window.partitionBy("feature")
 
 
 def imputed(long: DataFrame, train: Column = None) -> DataFrame:
@@ -31,7 +33,7 @@ def scaled(long: DataFrame, train: Column = None) -> DataFrame:
 def anova(long: DataFrame, label: str = "label") -> DataFrame:
     """(feature, f): between-class over within-class mean squares."""
     cells = long.groupBy("feature", label).agg(F.count("value").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("ss"))
-    out = cells.withColumn("all_n", F.sum("n").over(BY_FEATURE)).withColumn("mean", F.sum(F.col("n") * F.col("m")).over(BY_FEATURE) / F.sum("n").over(BY_FEATURE))
+    out = cells.withColumn("all_n", F.sum("n").over(by_feature())).withColumn("mean", F.sum(F.col("n") * F.col("m")).over(by_feature()) / F.sum("n").over(by_feature()))
     out = out.groupBy("feature").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("between"), F.sum("ss").alias("within"),
         F.count("*").alias("k"), F.max("all_n").alias("n"),
@@ -42,14 +44,14 @@ def anova(long: DataFrame, label: str = "label") -> DataFrame:
 
 def mutual_information(long: DataFrame, label: str = "label", bins: int = 10) -> DataFrame:
     """(feature, mi) in nats between equal-width bins of a feature and the label."""
-    lo, hi = F.min("value").over(BY_FEATURE), F.max("value").over(BY_FEATURE)
+    lo, hi = F.min("value").over(by_feature()), F.max("value").over(by_feature())
     binned = long.withColumns({"_lo": lo, "_hi": hi}).withColumn(
         "bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
     )
     cells = binned.groupBy("feature", "bin", label).agg(F.count("*").alias("n"))
     cells = cells.withColumns(
         {
-            "all_n": F.sum("n").over(BY_FEATURE), "n_bin": F.sum("n").over(Window.partitionBy("feature", "bin")),
+            "all_n": F.sum("n").over(by_feature()), "n_bin": F.sum("n").over(Window.partitionBy("feature", "bin")),
             "n_label": F.sum("n").over(Window.partitionBy("feature", label)),
         }
     )

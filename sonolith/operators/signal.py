@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("series_id").orderBy("idx")
-WHOLE = Window.partitionBy("series_id")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("idx")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def long_form(df: DataFrame, series: str, order: list[str], value: str, *keep: str) -> DataFrame:
@@ -23,7 +28,7 @@ def preemphasis(long: DataFrame, c: float | None = 0.97) -> DataFrame:
     """y[n] - c * y[n-1], the first sample as it is; no change for no coefficient."""
     if not c:
         return long
-    return long.withColumn("y", F.coalesce(F.col("y") - F.lit(c) * F.lag("y").over(IN_ORDER), F.col("y")))
+    return long.withColumn("y", F.coalesce(F.col("y") - F.lit(c) * F.lag("y").over(in_order()), F.col("y")))
 
 
 def undone_preemphasis(samples: Column, c: float = 0.97) -> Column:
@@ -41,7 +46,7 @@ def amplitude(long: DataFrame, method: str = "peak") -> DataFrame:
     if method not in ("peak", "rms"):
         raise ValueError(f"unknown amplitude method {method}")
     y = F.col("y")
-    by = F.max(F.abs(y)).over(WHOLE) if method == "peak" else F.sqrt(F.avg(y * y).over(WHOLE))
+    by = F.max(F.abs(y)).over(whole()) if method == "peak" else F.sqrt(F.avg(y * y).over(whole()))
     return long.withColumn("_by", by).withColumn("y", F.when(F.col("_by") > 0, y / F.col("_by")).otherwise(y)).drop("_by")
 
 
@@ -74,10 +79,10 @@ def quantized(samples: Column, bits: int = 24) -> Column:
 def wiener(long: DataFrame, floor: float = 1e-12) -> DataFrame:
     """Local Wiener filter over three samples with zeros beyond the ends; a flat series stays as it is."""
     y = F.col("y")
-    a, b = F.coalesce(F.lag("y").over(IN_ORDER), F.lit(0.0)), F.coalesce(F.lead("y").over(IN_ORDER), F.lit(0.0))
+    a, b = F.coalesce(F.lag("y").over(in_order()), F.lit(0.0)), F.coalesce(F.lead("y").over(in_order()), F.lit(0.0))
     m = (a + y + b) / 3
     out = long.withColumn("_m", m).withColumn("_v", F.greatest((a * a + y * y + b * b) / 3 - m * m, F.lit(0.0)))
-    out = out.withColumn("_noise", F.avg("_v").over(WHOLE)).withColumn("_var", F.var_pop("y").over(WHOLE))
+    out = out.withColumn("_noise", F.avg("_v").over(whole())).withColumn("_var", F.var_pop("y").over(whole()))
     gain = 1 - F.col("_noise") / F.when(F.col("_v") > 0, F.col("_v")).otherwise(1.0)
     filtered = F.when(F.col("_v") <= F.col("_noise"), F.col("_m")).otherwise(F.col("_m") + gain * (y - F.col("_m")))
     return out.withColumn("y", F.when(F.col("_var") < floor, y).otherwise(filtered)).drop("_m", "_v", "_noise", "_var")
@@ -93,7 +98,7 @@ def robust_sigma(y: Column) -> Column:
 
 def rolled(long: DataFrame, shift: Column) -> DataFrame:
     """Circular shift to the right by int(shift)."""
-    n = F.count("*").over(WHOLE)
+    n = F.count("*").over(whole())
     return long.withColumn("idx", F.pmod(F.col("idx") + shift.cast("long"), n))
 
 
@@ -131,7 +136,7 @@ def reverb_taps(rate: int, scale: float = 0.3) -> list[float]:
 
 def framed(long: DataFrame, length: int, hop: int) -> DataFrame:
     """A row for each frame and sample in it; frames that would run over the end are left out."""
-    n = F.count("*").over(WHOLE)
+    n = F.count("*").over(whole())
     first = F.greatest(F.ceil((F.col("idx") - (length - 1)) / F.lit(hop)), F.lit(0))
     last = F.least(F.floor(F.col("idx") / F.lit(hop)), F.floor((n - length) / F.lit(hop)))
     out = long.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
@@ -147,14 +152,14 @@ def overlap_added(frames: DataFrame, window: Column) -> DataFrame:
 
 def deltas(long: DataFrame) -> DataFrame:
     """Slope of five samples by least squares; samples without two neighbours on each side are left out."""
-    at = lambda k: F.lag("y", -k).over(IN_ORDER)
+    at = lambda k: F.lag("y", -k).over(in_order())
     slope = (at(2) * 2 + at(1) - at(-1) - at(-2) * 2) / 10
     return long.withColumn("delta", slope).where("delta IS NOT NULL")
 
 
 def flux(long: DataFrame) -> DataFrame:
     """Positive differences to the sample before; 0 for the first."""
-    return long.withColumn("flux", F.coalesce(F.greatest(F.col("y") - F.lag("y").over(IN_ORDER), F.lit(0.0)), F.lit(0.0)))
+    return long.withColumn("flux", F.coalesce(F.greatest(F.col("y") - F.lag("y").over(in_order()), F.lit(0.0)), F.lit(0.0)))
 
 
 def interpolated(samples: Column, n: int) -> Column:
@@ -184,7 +189,7 @@ def rolloff(spectrum: Column, share: float = 0.85) -> Column:
 
 def histogram_entropy(long: DataFrame, bins: int = 100) -> DataFrame:
     """-sum(d * log2(d)) over the densities d of an equal-width histogram; may be negative."""
-    out = long.withColumns({"_lo": F.min("y").over(WHOLE), "_hi": F.max("y").over(WHOLE), "_n": F.count("y").over(WHOLE)})
+    out = long.withColumns({"_lo": F.min("y").over(whole()), "_hi": F.max("y").over(whole()), "_n": F.count("y").over(whole())})
     width = (F.col("_hi") - F.col("_lo")) / bins
     out = out.where("_hi > _lo").withColumn("_bin", F.least(F.floor((F.col("y") - F.col("_lo")) / width), F.lit(bins - 1)))
     out = out.groupBy("series_id", "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first((F.col("_hi") - F.col("_lo")) / bins).alias("_w"))
@@ -194,7 +199,7 @@ def histogram_entropy(long: DataFrame, bins: int = 100) -> DataFrame:
 
 def lag_correlation(long: DataFrame) -> DataFrame:
     """Correlation of each series with itself one sample later; 0 if either side is flat."""
-    pairs = long.withColumn("_b", F.lag("y").over(IN_ORDER)).where("_b IS NOT NULL")
+    pairs = long.withColumn("_b", F.lag("y").over(in_order())).where("_b IS NOT NULL")
     n = F.count("*")
     cov = F.covar_pop("y", "_b")
     both = F.stddev_pop("y") * F.stddev_pop("_b")
@@ -203,16 +208,16 @@ def lag_correlation(long: DataFrame) -> DataFrame:
 
 def usable(long: DataFrame) -> DataFrame:
     """Series of two or more samples that are not all close to the first."""
-    first = F.first("y").over(IN_ORDER)
+    first = F.first("y").over(in_order())
     out = long.withColumn("_far", F.abs(F.col("y") - first) > 1e-8 + 1e-5 * F.abs(first))
-    out = out.withColumn("_ok", F.max("_far").over(WHOLE) & (F.count("*").over(WHOLE) >= 2))
+    out = out.withColumn("_ok", F.max("_far").over(whole()) & (F.count("*").over(whole()) >= 2))
     return out.where("_ok").drop("_far", "_ok")
 
 
 def time_profile(long: DataFrame) -> DataFrame:
     """The amplitude statistics of the time domain, a row a series."""
     y = F.col("y")
-    centred = long.withColumn("_m", F.avg("y").over(WHOLE))
+    centred = long.withColumn("_m", F.avg("y").over(whole()))
     c = y - F.col("_m")
     return centred.groupBy("series_id").agg(
         F.count("*").alias("n"), F.avg(y).alias("mean_amplitude"), F.median(y).alias("median_amplitude"),

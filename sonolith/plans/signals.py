@@ -101,7 +101,7 @@ def soft_threshold(spark, d):
 
 @query(f"WITH {_EV}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev) SELECT series_id, ((idx + trunc(n * 0.2::DOUBLE)::BIGINT) % n)::BIGINT AS idx, y FROM n")
 def roll(spark, d):
-    return S.rolled(_events(spark, d), F.floor(F.count("*").over(S.WHOLE) * F.lit(0.2)))
+    return S.rolled(_events(spark, d), F.floor(F.count("*").over(S.whole()) * F.lit(0.2)))
 
 
 @query(f"WITH {_SM} SELECT series_id, (idx - series_id % 13)::BIGINT AS idx, round(y, 6) AS y FROM s WHERE idx >= series_id % 13 AND idx < series_id % 13 + 51")
@@ -193,7 +193,7 @@ SELECT series_id, f.f::BIGINT AS frame, round(sqrt(avg(y * y)), 5) AS rms, round
 def frame_rms_zcr(spark, d):
     long = _events(spark, d)
     above = F.col("y") >= 100
-    crossed = F.when((F.col("idx") > 0) & (above != F.lag(above).over(S.IN_ORDER)), 1).otherwise(0)
+    crossed = F.when((F.col("idx") > 0) & (above != F.lag(above).over(S.in_order())), 1).otherwise(0)
     frames = S.framed(long.withColumn("z", crossed), 8, 4).groupBy("series_id", "frame")
     return frames.agg(F.round(F.sqrt(F.avg(F.col("y") * F.col("y"))), 5).alias("rms"), F.round(F.avg("z"), 6).alias("zcr"))
 
@@ -221,7 +221,7 @@ def histogram_entropy(spark, d):
 SELECT series_id, round(-sum(p / (t + 1e-10) * log2(p / (t + 1e-10) + 1e-10)), 6) AS entropy FROM p GROUP BY 1""")
 def spectral_entropy(spark, d):
     long = _long_clips(spark, d, lambda s: F.transform(s, lambda x: x * x))
-    p = F.col("y") / (F.sum("y").over(S.WHOLE) + 1e-10)
+    p = F.col("y") / (F.sum("y").over(S.whole()) + 1e-10)
     return long.withColumn("p", p).groupBy("series_id").agg(F.round(-F.sum(F.col("p") * F.log2(F.col("p") + 1e-10)), 6).alias("entropy"))
 
 
