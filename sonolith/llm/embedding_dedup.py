@@ -24,7 +24,7 @@ from .common import Forest, components, written
 from .shingles import mixed
 from .vectors import complete, matrix, rows_of
 
-TABLES, HASHES, PROBES = 10, 2, 6
+TABLES, HASHES, PROBES = 10, 3, 6
 #: Rows of one bucket that a block holds; larger buckets are compared block by block.
 BLOCK = 2048
 
@@ -114,7 +114,7 @@ def _linked(least: float):
             rep, copies = np.array([r[4] for r in run], np.int64), np.array([r[5] for r in run], np.int64)
             home = np.array([r[6] for r in run])
             unit = _unit(np.array([r[7] for r in run], float))
-            names = buckets(unit) ^ unit.shape[1]
+            names = None  # made for the rows that have a near one
             left, right = (np.flatnonzero(part == x), np.flatnonzero(part == y)) if x != y else (np.arange(len(run)),) * 2
             links = np.zeros(len(run), np.int64)
             for i in range(0, len(left), 256):
@@ -122,6 +122,10 @@ def _linked(least: float):
                 near = (unit[block] @ unit[right].T >= least) & (home[block][:, None] | home[right][None, :])
                 near &= (rep[block][:, None] < rep[right][None, :]) if x == y else (rep[block][:, None] != rep[right][None, :])
                 p, q = np.nonzero(near)
+                if len(p) and names is None:
+                    close = (unit @ unit.T >= least).sum(axis=1) > 1 if len(run) <= 512 else np.ones(len(run), bool)
+                    names = np.zeros((len(run), TABLES, 1 + PROBES), np.int64)
+                    names[close] = buckets(unit[close]) ^ unit.shape[1]
                 for j in range(0, len(p), 20_000):
                     a, b = block[p[j : j + 20_000]], right[q[j : j + 20_000]]
                     a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
