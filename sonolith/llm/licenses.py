@@ -1,10 +1,10 @@
 """License scans, in DataFrame functions only.
 
-A template is a license notice. Its windows of 1, 4 or 16 word shingles (the largest size that fits) stand
-in an index under their MinHash bands. A text is read in overlapping windows of each size; equal bands
-retrieve templates. Text windows step by half a window and template windows by one shingle, so a copy's
-windows always meet their equals: an unedited copy is found for certain, and one whose windows keep a
-similarity of 0.6 with probability 1 - 0.4 ** BANDS = 0.97 a window. Exact containment of the template's
+A template is a license notice. Its windows of 1 or 8 word shingles stand in an index under their MinHash
+bands. A text is read in overlapping windows of each size; equal bands retrieve templates. Text windows
+step by half a window and template windows by one shingle. A template uses the larger size only if it is
+long enough to hold one of a text's windows whole wherever they start: so an unedited copy is found for
+certain, and a window that keeps a similarity of 0.6 with probability 1 - 0.4 ** BANDS = 0.97. Exact containment of the template's
 shingles in the text then verifies. All of it is one narrow pass; the index is a constant of the plan.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-SHINGLE, SIZES, BANDS, LEAST = 5, (1, 4, 16), 4, 0.75
+SHINGLE, SIZES, BANDS, LEAST = 5, (1, 8), 4, 0.75
 #: Bound of the index, which is a constant of the plan.
 MOST_TEMPLATES, MOST_WORDS = 500, 100_000
 _SEEDS = (0, 0x1F3D5B79A2C4E685, 0x2E4C6A8091B3D5F7, 0x3B5D7F9182A4C6E8)
@@ -115,8 +115,9 @@ def _bank(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
         raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_WORDS} words")
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
     rows = rows.withColumn("shingles", F.array_distinct(shingles(words(F.col("text"))))).withColumn("ordered", shingles(words(F.col("text"))))
-    fitting = [F.when(F.size("ordered") >= s, _bands(F.col("ordered"), s, 1)) for s in sorted(SIZES, reverse=True)]
-    size = F.coalesce(*[F.when(F.size("ordered") >= s, F.lit(s)) for s in sorted(SIZES, reverse=True)])
+    fits = {s: F.size("ordered") >= s + max(1, s // 2) - 1 for s in sorted(SIZES, reverse=True)}
+    fitting = [F.when(ok, _bands(F.col("ordered"), s, 1)) for s, ok in fits.items()]
+    size = F.coalesce(*[F.when(ok, F.lit(s)) for s, ok in fits.items()])
     rows = rows.withColumn("keys", F.array_distinct(F.coalesce(*fitting))).withColumn("size", size).where("size(ordered) > 0")
     return [r.asDict() for r in rows.select("name", "size", "keys", "shingles").collect()]
 
