@@ -43,8 +43,9 @@ def pieces(vocabulary: str) -> dict[str, float]:
 
 class Trie:
     def __init__(self, scores: dict[str, float], limit: int = NODES):
-        self.scores, self.limit = scores, limit
-        self.longest = max(map(len, scores), default=1)
+        self.limit = limit
+        # Every tail of every piece, with the score of those that are pieces: what is no tail ends the search.
+        self.tails: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))} | scores
         self._clear()
 
     def _clear(self) -> None:
@@ -62,7 +63,7 @@ class Trie:
         return known
 
     def _insert(self, word: str) -> int:
-        child, score, count, scores = self.child, self.score, self.pieces, self.scores
+        child, score, count, tails = self.child, self.score, self.pieces, self.tails
         path = [0]
         if len(word) > 512:  # a very long word would keep a node for each of its characters
             child, score, count = {}, [0.0], [0]
@@ -72,10 +73,15 @@ class Trie:
             if node is None:
                 size = len(c.encode("utf-8", "surrogatepass"))
                 best = (score[path[-1]] + size * BYTE_SCORE, -count[path[-1]] - size)
-                for i in range(max(0, j - self.longest), j):
-                    own = scores.get(word[i:j])
-                    if own is not None:
-                        best = max(best, (score[path[i]] + own, -count[path[i]] - 1))
+                for i in range(j - 1, -1, -1):
+                    own = tails.get(word[i:j], 1.0)  # log probabilities are never positive
+                    if own is None:
+                        continue
+                    if own > 0:
+                        break
+                    at = path[i]
+                    if (total := score[at] + own) >= best[0]:
+                        best = max(best, (total, -count[at] - 1))
                 node = child[key] = len(score)
                 score.append(best[0])
                 count.append(-best[1])
@@ -83,6 +89,12 @@ class Trie:
         return count[path[-1]]
 
 
+@lru_cache(maxsize=2)
+def worker_trie(vocabulary: str) -> Trie:
+    """One trie for all tasks of a worker."""
+    return Trie(pieces(vocabulary))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -97,7 +109,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pieces(vocabulary or vocabulary_path()))
+        trie = worker_trie(vocabulary or vocabulary_path())
         word = re.compile(WORD)
         for batch in batches:
             words, tokens = [], []
