@@ -157,17 +157,17 @@ def group_folds(spark, d):
 
 def _results(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("price"))
-    return orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0")
+    return orders.where("o_orderstatus = 'F'"), orders.where("price > 100000")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) AS price FROM orders WHERE round(o_totalprice, 2) > 100000 AND o_orderstatus <> 'F'")
 def results_append(spark, d):
     old, new = _results(spark, d)
     return O.appended(old, new, ("o_orderkey", "o_orderstatus"))
 
 
-@query("""WITH b AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) AS price, 0 AS src FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2), 1 FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) AS price, 0 AS src FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2), 1 FROM orders WHERE round(o_totalprice, 2) > 100000),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY src, o_orderkey) AS n FROM b)
 SELECT o_orderkey, o_orderstatus, o_orderpriority, price FROM r WHERE n = 1""")
 def results_merge(spark, d):
@@ -175,16 +175,16 @@ def results_merge(spark, d):
     return O.merged_results(old, new, ["o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
-@query("""WITH a AS (SELECT user_id AS file_id, min(event_type) AS class, round(avg(value), 6) AS f1 FROM events WHERE user_id % 3 <> 0 GROUP BY 1),
-b AS (SELECT user_id AS file_id, min(event_type) AS class, round(max(value), 6) AS f2 FROM events WHERE user_id % 2 = 0 GROUP BY 1),
-c AS (SELECT user_id AS file_id, count(*)::DOUBLE AS f3 FROM events WHERE user_id % 5 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id AS file_id, min(event_type) AS class, round(avg(value), 6) AS f1 FROM events WHERE value > 200 GROUP BY 1),
+b AS (SELECT user_id AS file_id, min(event_type) AS class, round(max(value), 6) AS f2 FROM events WHERE value < 1 GROUP BY 1),
+c AS (SELECT user_id AS file_id, count(*)::DOUBLE AS f3 FROM events WHERE value > 300 GROUP BY 1)
 SELECT coalesce(a.file_id, b.file_id, c.file_id) AS file_id, coalesce(a.class, b.class) AS class, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2, coalesce(f3, 0) AS f3
 FROM a FULL JOIN b ON a.file_id = b.file_id FULL JOIN c ON c.file_id = coalesce(a.file_id, b.file_id)""")
 def merge_feature_tables(spark, d):
     events = table(spark, d, "events").withColumnRenamed("user_id", "file_id")
-    a = events.where("file_id % 3 <> 0").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.avg("value"), 6).alias("f1"))
-    b = events.where("file_id % 2 = 0").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.max("value"), 6).alias("f2"))
-    c = events.where("file_id % 5 = 0").groupBy("file_id").agg(F.count("*").cast("double").alias("f3"))
+    a = events.where("value > 200").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.avg("value"), 6).alias("f1"))
+    b = events.where("value < 1").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.max("value"), 6).alias("f2"))
+    c = events.where("value > 300").groupBy("file_id").agg(F.count("*").cast("double").alias("f3"))
     return O.merged_features([a, b, c])
 
 
