@@ -92,7 +92,7 @@ def _searched(k: int):
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if not len(shard) or not len(block):
             return none
-        shard, block = shard.sort_values("vec_id").drop_duplicates("vec_id"), block.sort_values("vec_id").drop_duplicates("vec_id")
+        shard, block = shard.sort_values("vec_id"), block.sort_values("vec_id")
         tree = Tree(np.array(shard["v"].tolist(), float), shard["vec_id"].to_numpy(np.int64))
         asked, own = np.array(block["v"].tolist(), float), block["vec_id"].to_numpy(np.int64)
         found = list(tree.search(asked, own, k, block["least"].to_numpy(float)))
@@ -118,13 +118,14 @@ def top_k(
     A component x counts as floor(scale * x); scores are integer inner products, ties go to the smaller
     vec_id. Vectors that are null, empty, hold null or non-finite components or ones beyond LARGEST take no
     part; vectors are compared with vectors of their own length only. A null vec_id takes no part. Rows
-    that repeat a vec_id are one row (the one that sorts first). Fewer than k rows are all returned; other
+    that repeat a vec_id are one row (the shortest vector, of these the one that sorts first). Fewer than k rows are all returned; other
     columns are ignored; an empty table gives an empty result.
     """
     scaled = F.transform("v", lambda x: F.floor(x * scale))
     usable = F.forall(F.col("v"), lambda x: F.abs(x * scale) < float(LARGEST))
     rows = rows_of(vectors, id_col, vector_col).where("vec_id IS NOT NULL").where(complete(F.col("v"))).where(usable)
-    rows = written(rows.select("vec_id", F.size("v").alias("width"), F.transform(scaled, lambda x: x.cast("int")).alias("v")), "vectors")
+    rows = rows.select("vec_id", F.struct(F.size("v").alias("width"), F.transform(scaled, lambda x: x.cast("int")).alias("v")).alias("row"))
+    rows = written(rows.groupBy("vec_id").agg(F.min("row").alias("row")).select("vec_id", "row.width", "row.v"), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0)
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).first()
     shards, blocks = max(1, -(-sizes.n // shard)), max(1, -(-sizes.asked // block))

@@ -53,6 +53,13 @@ def test_top_k_of_a_table_and_of_none(spark, small):
     assert knn.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_top_k_of_a_repeated_id(spark):
+    rows = [(40, [float(i % 7), 1.0]) for i in range(500)] + [(40, [0.0, 0.0, 0.0])] + [(i, [1.0, float(i)]) for i in range(30)]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)
+    once = [r for r in rows if r[0] != 40] + [(40, [0.0, 1.0])]
+    assert {tuple(r) for r in knn.top_k(df, shard=8, block=2).collect()} == brute_top(once, 20, 20)
+
+
 def brute_links(rows, least=0.95):
     good = [
         (n, i, np.array(v, float)) for n, (i, v) in enumerate(rows)
