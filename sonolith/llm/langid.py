@@ -31,6 +31,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _words(text: str) -> Counter:
+    """Counts of a text's words; what the pattern finds besides letters (signs like a half) is no word."""
+    found = Counter(_LETTERS.findall(text.lower()))
+    for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
+        del found[word]
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
@@ -62,7 +70,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the posterior share of the mean word's likelihood."""
-        words = Counter(_LETTERS.findall((text or "").lower()))
+        words = _words(text or "")
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total = sum(words.values())
@@ -78,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for word, n in Counter(_LETTERS.findall(text.as_py().lower())).items():
+            for word, n in _words(text.as_py()).items():
                 counts[lang, 0, word] += n
                 for k in range(1, ORDER + 1):
                     for g in grams(word, k):

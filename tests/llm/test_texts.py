@@ -96,7 +96,7 @@ def test_language_id_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en", None), (2, "der Hund und die Katze", "de", None), (None, "und der", "de", None), (4, "the", None, None)]
     model = langid.fit(frame(spark, rows))
     assert model.languages == ["de", "en"]
-    ask = [(1, None, None, None), (2, "", None, None), (3, "12 34!", None, None), (None, "the dogs", None, None), (5, "Katzen und Hunde " * 5000, None, None)]
+    ask = [(1, None, None, None), (2, "", None, None), (3, "12 34! ½ ²", None, None), (None, "the dogs", None, None), (5, "Katzen und Hunde " * 5000, None, None)]
     got = [(r.doc_id, r.lang_pred) for r in langid.predict(frame(spark, ask), model).collect()]
     assert got == [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de")]
     none = langid.fit(frame(spark, []))
