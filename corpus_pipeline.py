@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonolith.llm import langid, minhash_dedup, mixing, packing, secrets
-from sonolith.llm.common import table, written
+from sonolith.llm.common import table, word_count, written
 
 #: A document goes if it has no letter or its best language's share of the posterior is below this; with
 #: two or more languages half is more than chance, and prose of a known language scores far above.
@@ -57,11 +57,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that each source has its share of the words."""
-    mixed = mixing.mix(docs)
-    order = Window.partitionBy("doc_id").orderBy("source", "size", "copies")
-    mixed = mixed.withColumn("row_no", F.row_number().over(order)).select(F.col("doc_id").alias("id"), F.col("row_no").alias("no"), "copies")
-    rows = _numbered(docs.select(*COLUMNS))
-    picked = rows.join(mixed, rows.doc_id.eqNullSafe(mixed.id) & (rows.row_no == mixed.no))
+    # The mix knows rows by id, source and size; rows alike in these are told apart by a number.
+    alike = Window.partitionBy("id", "from", "size")
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("from"), "size", "copies")
+    mixed = mixed.withColumn("no", F.row_number().over(alike.orderBy(F.desc("copies"))))
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("id"), F.col("source").alias("from"), word_count(F.col("text")).alias("size"))
+    rows = rows.withColumn("row_no", F.row_number().over(alike.orderBy(F.xxhash64("text", "lang"), "n_chars")))
+    same = [rows[c].eqNullSafe(mixed[c]) for c in ("id", "from", "size")]
+    picked = rows.join(mixed, same[0] & same[1] & same[2] & (rows.row_no == mixed.no))
     return picked.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -6,6 +6,10 @@ token totals: the flight phase moves the probabilities of three documents at a t
 direction that changes neither total, until one of them is 0 or 1. Blocks of a source fly on their own
 (at most two documents stay undecided in each); what is left flies again, block after block, until a
 source has one block, where a small landing problem picks the outcome nearest to the target.
+
+Rows alike (one id, source and size) are first moved among themselves, which changes neither total: of n
+such rows with probability p, floor(n * p) are taken, one keeps the rest as its probability and flies, the
+others are left. So a block never holds more than one of them, however often a row repeats.
 """
 
 from __future__ import annotations
@@ -102,6 +106,14 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return done
 
 
+def _among_alike(rows: DataFrame) -> DataFrame:
+    """Moves the chances of rows alike among themselves, until at most one of them is between 0 and 1."""
+    alike = Window.partitionBy("no_id", "doc_id", "source", "size")
+    # Row i of n gets what n * chance leaves after i - 1 whole ones.
+    rest = F.count("*").over(alike) * F.col("chance") - (F.row_number().over(alike.orderBy("draw")) - 1)
+    return rows.withColumn("chance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rest)))
+
+
 def _flight(seed: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["draw", "doc_id", "no_id", "size"], kind="stable")
@@ -121,8 +133,8 @@ def mix(
     """(doc_id, source, size, source_size, target, copies, taken), a row for each row of ``docs``.
 
     ``size`` is the number of words (0 for null), ``copies`` how often the mix takes the document (0 to
-    ``most``), ``taken`` = copies * size. Draws hang on a hash of doc_id and ``seed``: reruns agree
-    whatever the partitioning; rows that repeat an id and size are alike, so either may be drawn. A null
+    ``most``), ``taken`` = copies * size. Draws hang on a hash of doc_id, size and ``seed``: reruns agree
+    whatever the partitioning; rows that repeat an id, source and size are alike, so either may be drawn. A null
     source is a source of its own, a null id a value like others. A source without words has target 0.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -141,10 +153,11 @@ def mix(
     known = rows.join(stats, rows.source.eqNullSafe(stats.s)).withColumns(
         {
             "whole": F.floor("ratio").cast("int"), "chance": F.col("ratio") - F.floor("ratio"),
-            "draw": F.xxhash64("doc_id", F.lit(seed)), "no_id": F.col("doc_id").isNull(),
+            "draw": F.xxhash64("doc_id", "size", F.lit(seed)), "no_id": F.col("doc_id").isNull(),
             "doc_id": F.coalesce("doc_id", F.lit(0)),  # pandas would make nullable longs floats
         }
     ).select("doc_id", "no_id", "source", "size", "source_size", "target", "whole", "chance", "draw", "n")
+    known = _among_alike(known)
     sure = known.where((F.col("chance") <= _NEAR) | (F.col("chance") >= 1 - _NEAR))
     settled = [sure.withColumn("chance", F.round("chance"))]
     open_rows = known.where((F.col("chance") > _NEAR) & (F.col("chance") < 1 - _NEAR))

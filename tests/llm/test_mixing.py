@@ -56,6 +56,20 @@ def test_mix_meets_targets(spark, block):
     assert sorted(got, key=key) == sorted(again, key=key)
 
 
+def test_rows_alike_fly_as_one(spark):
+    rows = [(None, "x y", "a")] * 901 + [(4, "x y", "a")] * 500 + [(i, "u v w " * (i % 9), "b") for i in range(300)]
+    df = spark.createDataFrame([(i, t, s, "x", "y") for i, t, s in rows], SCHEMA)
+    got = mixing.mix(df, block=50).collect()
+    assert len(got) == len(rows)
+    for i, n in ((None, 901), (4, 500)):
+        own = [r for r in got if r.doc_id == i and r.source == "a"]
+        ratio = own[0].target / own[0].source_size
+        assert len(own) == n and abs(sum(r.copies for r in own) - n * ratio) < 1
+    known = spark.range(1000).selectExpr("false AS no_id", "5L AS doc_id", "'a' AS source", "7L AS size", "0.3D AS chance", "1L AS draw")
+    chances = sorted(r.chance for r in mixing._among_alike(known).collect())
+    assert sum(chances) == pytest.approx(300) and sum(0 < c < 1 for c in chances) <= 1
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50, 999):
