@@ -164,3 +164,17 @@ def top_k(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+#: DuckDB SQL for ``top_k`` over ``embeddings`` with its defaults.
+ORACLE_SQL = """
+WITH usable AS (
+  SELECT vec_id, min({'n': len(embedding), 'v': list_transform(embedding, lambda x: floor(64 * x::DOUBLE))}) AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.r.v, c.r.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.r.n = c.r.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

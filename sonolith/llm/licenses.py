@@ -147,3 +147,25 @@ def find_licenses(
     return rows.select("doc_id", F.explode(verified).alias("t")).select(
         "doc_id", F.col("t.name").alias("license"), (F.col("t.n") / F.col("t.of")).alias("containment"), F.col("t.n").cast("long").alias("n_shared")
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: DuckDB SQL for ``find_licenses`` over ``documents``: containment of every template in every text.
+ORACLE_SQL = f"""
+WITH texts AS (
+  SELECT true AS is_doc, doc_id::VARCHAR AS id, row_number() OVER () AS row_no, text FROM documents
+  UNION ALL SELECT false, name, 0, text FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in sorted(TEMPLATES.items()))}) t(name, text)),
+worded AS (
+  SELECT is_doc, id, row_no, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM texts),
+sets AS (
+  SELECT is_doc, id, row_no, list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 2}, 1)),
+         lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM worded),
+spread AS (SELECT id AS name, len(s) AS n, unnest(s) AS x FROM sets WHERE NOT is_doc),
+shared AS (
+  SELECT d.id, d.row_no, t.name, t.n, count(*) AS k FROM (SELECT id, row_no, unnest(s) AS x FROM sets WHERE is_doc) d
+  JOIN spread t ON t.x = d.x GROUP BY ALL)
+SELECT id::BIGINT AS doc_id, name AS license, k::DOUBLE / n AS containment, k::BIGINT AS n_shared FROM shared WHERE k >= n * {LEAST}
+"""

@@ -268,3 +268,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     either = F.size("sa") + F.size("sb") - both
     linked = both * 100 >= either * threshold
     return found.groupBy("a", "b").agg(F.max(linked).alias("linked"))
+
+
+#: DuckDB SQL for all links that ``near_duplicates`` over ``documents`` may find (doc_id unique).
+ORACLE_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded),
+classes AS (SELECT min(doc_id) AS rep, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+spread AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM spread a JOIN spread b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+named AS (SELECT s, least(rep, coalesce(m, rep)) AS c FROM classes LEFT JOIN least ON a = rep)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(n.c, d.doc_id) AS component_id, coalesce(n.c, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN named n ON len(d.s) > 0 AND n.s = list_sort(d.s)
+"""

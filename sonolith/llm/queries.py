@@ -73,4 +73,11 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op9_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_secret_scan": secrets.ORACLE_SQL,
+    "op2_top_k": knn.ORACLE_SQL,
+    "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op6_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op8_license_scan": licenses.ORACLE_SQL,
+    "op9_sharding": sharding.ORACLE_SQL,
+}

@@ -211,3 +211,48 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         spans, start, step, lambda s: F.concat(s.out, F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))
     )
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the query over ``documents``: every rule's matches, and the entropy of each window by itself."""
+
+    def sql(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def placed(pattern: str) -> str:
+        found, parts = f"regexp_extract_all(text, {sql(pattern)})", f"string_split_regex(text, {sql(pattern)})"
+        return (
+            f"(SELECT doc_id, row_no, unnest(list_transform(m, lambda x, i: {{'t': x, 'a': list_sum(list_transform(p[1:i], lambda y: length(y)))"
+            f" + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)}})) AS f"
+            f" FROM (SELECT doc_id, row_no, {found} AS m, {parts} AS p FROM docs) WHERE len(m) > 0)"
+        )
+
+    rules = []
+    for rank, (kind, pattern, group, least) in enumerate(BASE_RULES):
+        rules.append(
+            f"SELECT doc_id, row_no, {rank} AS rank, '{kind}' AS kind, f.a::BIGINT AS a, (f.a + length(f.t))::BIGINT AS b FROM {placed(pattern)}"
+            f" WHERE length(regexp_extract(f.t, {sql(pattern)}, {group})) >= {least}"
+        )
+    allowed = " OR ".join(f"regexp_matches(f.t, {sql(p)})" for p in ALLOW)
+    bits = "CASE " + " ".join(f"WHEN regexp_matches(f.t, {sql(p)}) THEN {t}" for _, p, t in CLASSES) + " END"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k, *_ in BASE_RULES)
+    joined_as = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank){}, '')"
+    return f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(rules)}),
+suspects AS (
+  SELECT s.doc_id, s.row_no, f.a, f.t, {bits} AS bits FROM {placed(CANDIDATE)} s
+  WHERE regexp_matches(f.t, '[A-Za-z][0-9]|[0-9][A-Za-z]') AND NOT ({allowed})
+    AND NOT EXISTS (FROM base b WHERE b.row_no = s.row_no AND b.a < s.f.a + length(s.f.t) AND s.f.a < b.b)),
+hot AS (
+  SELECT doc_id, row_no, a, list_filter(range(1, length(t) - {WINDOW} + 2),
+    lambda i: list_entropy(string_split(substr(t, i, {WINDOW}), '')) >= bits - 1e-9) AS h FROM suspects),
+spans AS (
+  FROM base UNION ALL
+  SELECT doc_id, row_no, {len(BASE_RULES)}, 'entropy', (a + h[1] - 1)::BIGINT, (a + h[-1] - 1 + {WINDOW})::BIGINT FROM hot WHERE len(h) > 0)
+SELECT d.doc_id, {counts}, sha256({joined_as.format(f" FILTER (rank < {len(BASE_RULES)})")}) AS base_sha256, {joined_as.format("")} AS spans
+FROM docs d LEFT JOIN spans s ON s.row_no = d.row_no GROUP BY d.doc_id, d.row_no
+"""
+
+
+ORACLE_SQL = _oracle()
