@@ -2,8 +2,8 @@
 
 Every distinct shingle set gets a signature of ``HASHES`` b-bit MinHash values (b = 16). Two sets of
 similarity J differ in a signature value with probability 1 - J, so at J = 0.75 the Hamming distance
-over 48 values has mean 12 and deviation 3; ``RADIUS`` = 22 misses a pair at the threshold with
-probability below 0.001 and more similar pairs less. The signature is cut into 12 chunks of 4 values.
+over 52 values has mean 13 and deviation 3.1; ``RADIUS`` = 25 misses a pair at the threshold with
+probability below 0.0002 and more similar pairs less. The signature is cut into 13 chunks of 4 values.
 By the pigeonhole principle two signatures within RADIUS agree in some chunk up to that chunk's share
 of errors (the shares plus one add up to RADIUS + 1). Allowed errors are enumerated as the positions
 left out, so equal keys find *every* pair within RADIUS. Links are confirmed on the full shingle sets.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Forest, components, written
 from .shingles import digest, mixed, shingle_set
 
-HASHES, BITS, RADIUS, CHUNK = 48, 16, 22, 4
+HASHES, BITS, RADIUS, CHUNK = 52, 16, 25, 4
 #: Rows of one key's group that a block holds; larger groups are compared block by block.
 BLOCK = 2048
 STAR_ROUNDS = 2
