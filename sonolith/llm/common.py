@@ -56,8 +56,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``edges`` has two long columns. Returns (node, component), component the smallest node
     reachable, one row per node that has an edge to another node. Every round is two aggregations
-    with map-side combining and two joins; nothing is gathered by node in one place, and the number
-    of rounds grows with the logarithm of the longest path.
+    with map-side combining and two joins, and the number of rounds grows with the logarithm of the
+    longest path. The least neighbours are written before they are joined: so both sides of a join come
+    straight from an exchange, and the planner splits the edges of a hub over many tasks.
     """
     now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
@@ -65,9 +66,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _fingerprint(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(up.distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
