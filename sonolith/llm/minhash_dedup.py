@@ -260,14 +260,17 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, linked): whether the full shingle sets of each pair are similar enough."""
+    """(a, b, linked): whether the full shingle sets of each pair are similar enough.
+
+    A repeated doc_id has several sets, so its pairs come several times. They are not grouped here: after
+    grouping by (a, b) the planner could no longer split the pairs of one pivot over many tasks.
+    """
     mine = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     found = pairs.join(mine, "a").join(other, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - both
-    linked = both * 100 >= either * threshold
-    return found.groupBy("a", "b").agg(F.max(linked).alias("linked"))
+    return found.select("a", "b", (both * 100 >= either * threshold).alias("linked"))
 
 
 #: DuckDB SQL for all links that ``near_duplicates`` over ``documents`` may find (doc_id unique).
