@@ -133,6 +133,6 @@ def test_options_pass(spark):
 
 def test_entry_without_the_optional_part(tmp_path):
     code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert 'signal_profile' in q and 'op1_secret_scan' not in q and 'pipeline' not in q; e.oracle_sql()"
-    subprocess.run(f"cp -r {ROOT}/sonolith {ROOT}/__spark_entry__.py {tmp_path} && rm -r {tmp_path}/sonolith/llm", shell=True, check=True)
+    subprocess.run(f"cp -r {ROOT}/sonolith {ROOT}/__spark_entry__.py {tmp_path} && rm -rf {tmp_path}/sonolith/llm", shell=True, check=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
     assert F and K
