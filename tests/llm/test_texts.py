@@ -53,6 +53,27 @@ def test_packing_query(spark, small):
     assert {(r.doc_id, r.start): r.ids_crc32 for r in queries.op3_packing(spark, small).collect()} == want
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [*ODD, f"a {end} b", end, f"  {end}  \n{end}{end} x", f"a {end[:-1]} b", f"é  {end.upper()} {end}s 12"]
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids, start = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for n in packing.piece_lengths(len(ids)):
+            want[i, start] = (n, len(ids), zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()))
+            start += n
+    got = queries.op3_packing(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start): (r.length, r.doc_tokens, r.ids_crc32) for r in got} == want
+    got = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start): (r.length, r.doc_tokens, zlib.crc32(bytes(r.ids))) for r in got} == want
+
+
 def brute_count(word, scores):
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
     for j in range(1, len(word) + 1):
