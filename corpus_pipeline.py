@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark."""
-    found = secrets.find_secrets(docs.select(*COLUMNS))
+    found = secrets.find_secrets(docs.select(*COLUMNS), pieces=True)
     clean = secrets.redacted(F.col("text"), F.col("secrets"))
     return found.withColumn("text", clean).withColumn(
         "n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -14,7 +14,7 @@ def _number_of(kind: str) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)
     base = F.filter("secrets", lambda s: s.rank < len(secrets.BASE_RULES))
     counts = [_number_of(kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE_RULES]
     return found.select(

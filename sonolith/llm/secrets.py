@@ -150,12 +150,56 @@ def _hot(candidate: Column, bits: Column) -> Column:
     )
 
 
-def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
-    suspects = F.filter(
-        _matches(text, CANDIDATE),
-        lambda s: s.text.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]") & ~s.text.rlike("|".join(f"(?:{a})" for a in allow)),
+def _gaps(taken: Column, start: Column, stop: Column) -> Column:
+    """What ``taken`` (sorted by start) leaves of start to stop, as an array of (start, stop)."""
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def add(out: Column, a: Column, b: Column) -> Column:
+        return F.when(a < b, F.concat(out, F.array(F.struct(a.alias("start"), b.alias("stop"))))).otherwise(out)
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(F.greatest(s["at"], x.stop).alias("at"), add(s["out"], s["at"], x.start).alias("out"))
+
+    first = F.struct(start.cast("long").alias("at"), none.alias("out"))
+    return F.aggregate(taken, first, step, lambda s: add(s["out"], s["at"], stop))
+
+
+def _cut(s: Column, taken: Column) -> Column:
+    """The parts of the match ``s`` outside ``taken``, as matches."""
+    return F.transform(
+        _gaps(taken, s.start, s.stop),
+        lambda g: F.struct(
+            g.start.alias("start"), g.stop.alias("stop"), F.substring(s.text, (g.start - s.start + 1).cast("int"), (g.stop - g.start).cast("int")).alias("text")
+        ),
     )
-    suspects = F.filter(suspects, lambda s: ~F.exists(base, lambda b: (b.start < s.stop) & (s.start < b.stop)))
+
+
+def _pieces(runs: Column, base: Column, allowed: str) -> Column:
+    """What base spans and matches of ``allowed`` leave of ``runs``, as matches of WINDOW or more characters."""
+
+    def outside_base(s: Column) -> Column:
+        return let(F.filter(base, lambda b: (b.start < s.stop) & (s.start < b.stop)), lambda near: F.when(F.size(near) > 0, _cut(s, near)).otherwise(F.array(s)))
+
+    def outside_allowed(s: Column) -> Column:
+        found = F.transform(
+            _matches(s.text, allowed), lambda m: F.struct((s.start + m.start).alias("start"), (s.start + m.stop).alias("stop"))
+        )
+        return F.when(s.text.rlike(allowed), _cut(s, found)).otherwise(F.array(s))
+
+    def long(pieces: Column) -> Column:
+        return F.filter(F.flatten(pieces), lambda s: s.stop - s.start >= WINDOW)
+
+    return long(F.transform(long(F.transform(runs, outside_base)), outside_allowed))
+
+
+def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...], pieces: bool) -> Column:
+    mixed, allowed = "[A-Za-z][0-9]|[0-9][A-Za-z]", "|".join(f"(?:{a})" for a in allow)
+    runs = F.filter(_matches(text, CANDIDATE), lambda s: s.text.rlike(mixed))
+    if pieces:
+        suspects = F.filter(_pieces(runs, base, allowed), lambda s: s.text.rlike(mixed))
+    else:
+        suspects = F.filter(runs, lambda s: ~s.text.rlike(allowed))
+        suspects = F.filter(suspects, lambda s: ~F.exists(base, lambda b: (b.start < s.stop) & (s.start < b.stop)))
 
     def scored(s: Column) -> Column:
         bits = F.coalesce(*[F.when(s.text.rlike(p), F.lit(t)) for _, p, t in CLASSES])
@@ -172,20 +216,25 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", allow: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, text_col: str = "text", into: str = "secrets", allow: tuple[str, ...] = (), pieces: bool = False,
+) -> DataFrame:
     """``docs`` with a column ``into``: array of (start, rank, stop, kind), sorted; code points, end exclusive.
 
     Kinds are assign, access, hex (leftmost non-overlapping each, short ones dropped) and entropy, which
     never overlaps a base span. Null and empty texts have an empty array, rows are kept as they are, also
     repeated ones; a column that is already named ``into`` is replaced. ``allow`` adds patterns to the
-    allow-list of the entropy rule; base rules are never suppressed.
+    allow-list of the entropy rule; base rules are never suppressed. A candidate that a base span or an
+    allowed string touches is passed over whole, as in ORACLE_SQL; with ``pieces`` only these stretches
+    are cut out and the windows of every piece left are scored, so a secret beside them is found. Patterns
+    of ``allow`` must then match more than the empty string.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     taken = {c.lower() for c in docs.columns} | {into.lower()}
     own = [next(n for i in range(9999) if (n := f"_{k}{i}") not in taken) for k in ("base", "secret")]
     base = F.array_sort(F.concat(*[_rule(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE_RULES)]))
     found = docs.withColumn(own[0], base)
-    extra = _entropy_spans(text, F.col(own[0]), ALLOW + tuple(allow))
+    extra = _entropy_spans(text, F.col(own[0]), ALLOW + tuple(allow), pieces)
     return found.withColumn(own[1], F.array_sort(F.concat(F.col(own[0]), extra))).drop(
         own[0], *[c for c in docs.columns if c.lower() == into.lower()]
     ).withColumnRenamed(own[1], into)
