@@ -18,10 +18,12 @@ LEAST_SCORE = 0.4
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number among those of their doc_id; equal rows are interchangeable."""
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"), "n_chars")
-    return docs.withColumn("row_no", F.row_number().over(order))
+def _classes(rows: DataFrame) -> DataFrame:
+    """Rows with a number ``no``, the same for rows that share doc_id and text, ascending with doc_id."""
+    rows = rows.withColumn("digest", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    known = rows.select(F.col("doc_id").alias("id"), F.col("digest").alias("of")).distinct()
+    known = written(known.orderBy("id", "of").withColumn("no", F.monotonically_increasing_id()), "classes")
+    return written(rows.join(known, (rows.doc_id == known.id) & (rows.digest == known.of)).select(*COLUMNS, "no"), "classed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; of rows that repeat an id, the first."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    """Keeps one row of each group of near-duplicates; rows that repeat an id and a text are one document.
+
+    Rows of one id with different texts are documents of their own, linked by their texts only.
+    """
     rows = docs.select(*COLUMNS)
-    some = rows.join(kept, rows.doc_id == kept.id, "left_semi")
-    first = _numbered(some).where("row_no = 1").drop("row_no")
-    return first.unionByName(rows.where("doc_id IS NULL"))
+    named, unnamed = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = minhash_dedup.near_duplicates(named).where("kept").select(F.col("doc_id").alias("id"))
+        return named.join(kept, named.doc_id == kept.id, "left_semi").unionByName(unnamed)
+    classed = _classes(named)
+    kept = minhash_dedup.near_duplicates(classed, id_col="no").where("kept").select(F.col("doc_id").alias("id")).distinct()
+    some = classed.join(kept, classed.no == kept.id, "left_semi")
+    order = Window.partitionBy("no").orderBy(F.xxhash64("lang", "source"), "n_chars")
+    first = some.withColumn("row_no", F.row_number().over(order)).where("row_no = 1").select(*COLUMNS)
+    return first.unionByName(unnamed)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

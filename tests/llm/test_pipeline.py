@@ -62,3 +62,16 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in P.STAGES:
         assert stage(spark, empty, None).collect() == []
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    near = one + " more"
+    rows = [(1, one, "en"), (2, near, "en"), (2, two, "en"), (3, two, "en"), (4, three, "en"), (4, three, "de"), (4, None, "en"), (5, one, "en"),
+            (6, "d " + three, "en"), (6, "only here", "en"), (None, one, "en"), (-7, "least", "en"), (-7, "other", "en")]
+    docs = spark.createDataFrame([(i, t, la, "a", None) for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_dedup(spark, docs, "")
+    assert got.columns == COLUMNS
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = [(1, one), (2, two), (4, three), (4, None), (6, "only here"), (None, one), (-7, "least"), (-7, "other")]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key)
