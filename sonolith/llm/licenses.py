@@ -84,8 +84,8 @@ def shingles(found: Column) -> Column:
 
 
 def _least(window: Column, seed: int) -> Column:
-    """MinHash value: the least hash after flipping the seed's bits."""
-    return F.array_min(F.transform(window, lambda h: h.bitwiseXOR(F.lit(seed))))
+    """MinHash value: the least of the hashes hashed with the seed, so each seed has an order of its own."""
+    return F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(seed))))
 
 
 def _bands(hashes: Column, size: int, step: int) -> Column:

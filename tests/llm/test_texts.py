@@ -159,6 +159,32 @@ def test_licenses(spark, small):
     assert found == {(r.doc_id, n) for r in docs for n, s in need.items() if len(s & plain_shingles(r.text)) >= 0.75 * len(s)}
 
 
+def test_license_bands_retrieve_similar_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(2000):
+        a = rng.integers(-(1 << 63), (1 << 63) - 1, 10).tolist()
+        rows.append((a[:8], a[2:]))  # 6 shared of 10: a similarity of 0.6
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    met = F.arrays_overlap(licenses._bands(F.col("a"), 8, 8), licenses._bands(F.col("b"), 8, 8))
+    share = df.agg(F.avg(met.cast("double"))).first()[0]
+    assert share > 0.96, share
+
+
+def test_license_one_word_edits(spark):
+    rows, want = [], set()
+    for name, text in sorted(licenses.TEMPLATES.items()):
+        words = text.split()
+        for i in range(len(words)):
+            for edited in ([*words[:i], f"new{i}", *words[i:]], [*words[:i], f"new{i}", *words[i + 1 :]], [*words[:i], *words[i + 1 :]]):
+                rows.append((len(rows), "lorem " * (i % 9) + " ".join(edited) + " ipsum dolor", None, None))
+    for i, t, *_ in rows:
+        own = plain_shingles(t)
+        want |= {(i, n) for n, x in licenses.TEMPLATES.items() if (need := plain_shingles(x)) and len(need & own) >= 0.75 * len(need)}
+    got = {(r.doc_id, r.license) for r in licenses.find_licenses(frame(spark, rows)).collect()}
+    assert got == want, (len(want), want - got)
+
+
 def test_sharding(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text, None, None) for r in docs] + [(None, None, None, None), (1, "z" * 30_000, None, None)]
