@@ -5,12 +5,14 @@ bands. A text is read in overlapping windows of each size; equal bands retrieve
 step by half a window and template windows by one shingle. A template uses the larger size only if it is
 long enough to hold one of a text's windows whole wherever they start: so an unedited copy is found for
 certain, and a window that keeps a similarity of 0.6 with probability 1 - 0.4 ** BANDS = 0.97. Exact containment of the template's
-shingles in the text then verifies. All of it is one narrow pass; the index is a constant of the plan.
+shingles in the text then verifies. All of it is one narrow pass; the index is a constant of the plan, of bounded
+size: a larger bank of templates is cut into several constants with a pass each.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import let
 
 SHINGLE, SIZES, BANDS, LEAST = 5, (1, 8), 4, 0.75
-#: Bound of the index, which is a constant of the plan.
+#: Templates and words of one constant of the plan; more of them make more constants.
 MOST_TEMPLATES, MOST_WORDS = 500, 100_000
 _SEEDS = (0, 0x1F3D5B79A2C4E685, 0x2E4C6A8091B3D5F7, 0x3B5D7F9182A4C6E8)
 
@@ -109,10 +111,22 @@ def _bands(hashes: Column, size: int, step: int) -> Column:
 _BANK = "array<struct<name:string,size:int,keys:array<bigint>,shingles:array<bigint>>>"
 
 
+def _parts(templates: dict[str, str], most: int, most_words: int) -> list[dict[str, str]]:
+    """``templates`` in parts of at most ``most`` templates and ``most_words`` words (or one template)."""
+    parts: list[dict[str, str]] = [{}]
+    held = 0
+    for name, text in sorted(templates.items()):
+        n = len(text.split())
+        if parts[-1] and (len(parts[-1]) >= most or held + n > most_words):
+            parts.append({})
+            held = 0
+        parts[-1][name] = text
+        held += n
+    return parts
+
+
 def _bank(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
-    """The index, computed by the expressions that read the texts. Its bound is checked."""
-    if len(templates) > MOST_TEMPLATES or sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_WORDS} words")
+    """The index, computed by the expressions that read the texts."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
     rows = rows.withColumn("shingles", F.array_distinct(shingles(words(F.col("text"))))).withColumn("ordered", shingles(words(F.col("text"))))
     fits = {s: F.size("ordered") >= s + max(1, s // 2) - 1 for s in sorted(SIZES, reverse=True)}
@@ -124,14 +138,22 @@ def _bank(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
 
 def find_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST,
+    most_templates: int = MOST_TEMPLATES, most_words: int = MOST_WORDS,
 ) -> DataFrame:
     """(doc_id, license, containment, n_shared): a row for each row of ``docs`` and template found in it.
 
     ``containment`` is the share of the template's distinct shingles that the whole text has, ``least`` or
-    more. Null, empty and short texts have none; repeated rows and null ids are treated like others; a
-    template shorter than five words is ignored. Other columns are ignored.
+    more. Null, empty and short texts have none; very long texts are read whole; repeated rows and null ids
+    are treated like others; a template shorter than five words is ignored. Other columns are ignored; an
+    empty table or bank gives an empty result. Any number of templates is searched, ``most_templates`` or
+    ``most_words`` words of them in a pass.
     """
-    bank = _bank(docs.sparkSession, TEMPLATES if templates is None else templates)
+    parts = _parts(TEMPLATES if templates is None else templates, most_templates, most_words)
+    found = [_scanned(docs, id_col, text_col, _bank(docs.sparkSession, part), least) for part in parts]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, bank: list[dict], least: float) -> DataFrame:
     known = F.from_json(F.lit(json.dumps(bank)), _BANK)
     used = sorted({b["size"] for b in bank})
     keys = F.from_json(F.lit(json.dumps(sorted({k for b in bank for k in b["keys"]}))), "array<bigint>")
