@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -79,7 +81,7 @@ def brute_count(word, scores):
     for j in range(1, len(word) + 1):
         size = len(word[j - 1].encode())
         best[j] = (best[j - 1][0] + size * tokencount.BYTE_SCORE, best[j - 1][1] - size)
-        for i in range(j):
+        for i in range(max(0, j - 64), j):  # no piece has more characters
             if (s := scores.get(word[i:j])) is not None:
                 best[j] = max(best[j], (best[i][0] + s, best[i][1] - 1))
     return -best[-1][1]
@@ -89,18 +91,36 @@ def test_token_counts_equal_brute_force(spark, small):
     texts = ODD + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     got = {r.doc_id: r for r in tokencount.token_counts(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
     scores = tokencount.pieces(tokencount.vocabulary_path())
+    assert max(map(len, scores)) <= 64
     cache: dict[str, int] = {}
-    import re
-
     for i, t in enumerate(texts):
         words = Counter(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
         for w in words:
             if w not in cache:
-                cache[w] = brute_count("▁" + w, scores) if len(w) < 400 else tokencount.Trie(scores).count("▁" + w)
+                cache[w] = brute_count("▁" + w, scores)
         assert got[i].n_words == words.total()
         assert got[i].n_tokens == sum(cache[w] * n for w, n in words.items())
-    small_trie = tokencount.Trie(scores, limit=50)
-    assert all(small_trie.count("▁" + w) == n for w, n in cache.items())
+    for bounds in ({"limit": 50}, {"most_bytes": 500}, {"limit": 3000, "most_bytes": 20_000}):
+        trie = tokencount.Trie(scores, **bounds)
+        assert all(trie.count(w) == n for w, n in cache.items())
+
+
+def test_token_counts_of_odd_rows(spark):
+    rows = [(None, "a word", None, None), (1, "a word", None, None), (1, "a word", None, None), (2, None, None, None)]
+    got = [(r.doc_id, r.n_words, r.n_tokens) for r in tokencount.token_counts(frame(spark, rows)).collect()]
+    assert got[0][1:] == got[1][1:] == got[2][1:] and got[0][1] == 2 and got[3] == (2, 0, 0)
+    assert tokencount.token_counts(frame(spark, [])).collect() == []
+
+
+def test_trie_of_long_words_is_bounded():
+    scores = tokencount.pieces(tokencount.vocabulary_path())
+    trie, rng = tokencount.Trie(scores, limit=50, most_bytes=10_000), random.Random(1)
+    for _ in range(300):
+        word = "".join(rng.choices("abcdefgh", k=rng.randint(600, 900)))
+        assert trie.count(word) == brute_count("▁" + word, scores)
+        assert len(trie.score) <= 50 and sum(map(len, trie.terminal)) < 11_000
+    word = "".join(rng.choices("abcdeß世", k=140_000))
+    assert trie.count(word) == brute_count("▁" + word, scores)
 
 
 def test_language_id(spark, small):
@@ -125,9 +145,68 @@ def test_language_id_odd_rows(spark):
     assert langid.predict(frame(spark, []), model).collect() == []
 
 
-def plain_shingles(text):
-    import re
+def plain_backoff(rows):
+    """A predictor by the plain rule: dictionaries of counts for each language, one word at a time."""
+    words = lambda text: [w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(c.isalpha() for c in w)]
+    cut = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, text, lang, _ in rows if lang is not None and text is not None})
+    counts = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for _, text, lang, _ in rows:
+        if lang is not None and text is not None:
+            for w in words(text):
+                for n in range(5):
+                    counts[n][lang].update(cut(w, n))
+    known = [set().union(*c.values()) for c in counts]
+
+    def score(n, gram, lang):
+        c = counts[n][lang]
+        return math.log((c[gram] + 0.5) / (max(1, sum(c.values())) + max(1, len(known[n]))))
+
+    def predict(text):
+        found = words(text)
+        if not found or not langs:
+            return "und", 0.0
+        total = dict.fromkeys(langs, 0.0)
+        for w in found:
+            for n in (0, 4, 3, 2, 1):
+                if seen := [g for g in cut(w, n) if g in known[n]]:
+                    for lang in langs:
+                        total[lang] += sum(score(n, g, lang) for g in seen) / len(seen) / len(found)
+                    break
+        ranked = sorted(langs, key=lambda x: (-total[x], x))
+        return ranked[0], 1.0 if len(langs) == 1 else 1 / (1 + math.exp(total[ranked[1]] - total[ranked[0]]))
+
+    return predict
+
+
+def test_language_id_equals_the_plain_rule(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñ"
+    vocabulary = {f"l{k:03}": ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(30)] for k in range(120)}
+    rows = [(i, " ".join(rng.choices(vocabulary[lang], k=40)), lang, None) for i, lang in enumerate([*vocabulary] * 3)]
+    rows += [(900, None, "l000", None), (901, "word", None, None), rows[0]]
+    model = langid.fit(frame(spark, rows))
+    assert len(model.languages) == 120
+    plain = plain_backoff(rows)
+    ask = [t for _, t, _, _ in rows[:40]] + [" ".join("".join(rng.choices(letters, k=6)) for _ in range(n)) for n in range(1, 60)] + ["", None, "½ 12", "\u4e16\u754c"]
+    got = langid.predict(frame(spark, [(i, t, None, None) for i, t in enumerate(ask)]), model).collect()
+    for r in got:
+        lang, score = plain(ask[r.doc_id])
+        assert math.isclose(r.score, score, abs_tol=1e-5)
+        assert r.lang_pred == lang or score < 0.5 + 1e-5
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got[:40]) == 40
 
+
+def test_language_id_keeps_every_word_of_its_sample(spark):
+    rows = [(i, " ".join("abcdefghij"[int(c)] for c in str(i)) + f" w{'x' * (i % 40)}", "ab"[i % 2], None) for i in range(400)]
+    some = langid.fit(frame(spark, rows), sample=50)
+    every = langid.fit(frame(spark, rows))
+    assert some.languages == every.languages == ["a", "b"] and len(some.keys) <= len(every.keys)
+    few = langid.fit(frame(spark, [(i, "word " * 100, "a", None) for i in range(400)]), characters=5000)
+    assert 0 < math.exp(few.gain.max()) / 2 < 2500  # about ten documents of a hundred words
+
+
+def plain_shingles(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
@@ -159,6 +238,25 @@ def test_licenses(spark, small):
     assert found == {(r.doc_id, n) for r in docs for n, s in need.items() if len(s & plain_shingles(r.text)) >= 0.75 * len(s)}
 
 
+def test_license_bank_of_any_size(spark):
+    rng, vocabulary = random.Random(3), [f"w{i}" for i in range(400)]
+    bank = {f"t{k:04}": " ".join(rng.choices(vocabulary, k=rng.randint(5, 30))) for k in range(1000)}
+    rows = [(i, "before " + bank[f"t{i * 37 % 1000:04}"] + " after", None, None) for i in range(40)]
+    rows += [rows[0], (41, None, None, None), (42, "", None, None)]
+    want = Counter()
+    for i, text, _, _ in rows:
+        have = plain_shingles(text)
+        for name, template in bank.items():
+            own = plain_shingles(template)
+            if len(own & have) >= 0.75 * len(own):
+                want[i, name, len(own & have)] += 1
+    for bounds in ({}, {"most_templates": 300, "most_words": 4000}):
+        got = licenses.find_licenses(frame(spark, rows), templates=bank, **bounds).collect()
+        assert Counter((r.doc_id, r.license, r.n_shared) for r in got) == want
+    assert licenses.find_licenses(frame(spark, rows), templates={}).collect() == []
+    assert licenses.find_licenses(frame(spark, [])).collect() == []
+
+
 def test_license_bands_retrieve_similar_windows(spark):
     rng = np.random.default_rng(4)
     rows = []
