@@ -33,8 +33,9 @@ from .common import Forest, components, written
 from .shingles import digest, mixed, shingle_set
 
 HASHES, BITS, RADIUS, CHUNK = 52, 16, 25, 4
-#: Rows of one key's group that a block holds; larger groups are compared block by block.
-BLOCK = 2048
+#: Rows of one key's group that a block holds; larger groups are compared block by block. A group is cut
+#: into SPREAD blocks as soon as they have BLOCK / SPREAD rows, so that no task has a long run.
+BLOCK, SPREAD = 2048, 8
 STAR_ROUNDS = 2
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -61,7 +62,7 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = map(shingle_set, batch.column(1).to_pylist())
+        sets = (shingle_set(x.as_py()) for x in batch.column(1))  # one text at a time
         rows = [(len(s), digest(s) if len(s) else None, signature(s).tobytes() if len(s) else None) for s in sets]
         n, keys, signatures = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.record_batch(
@@ -92,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            sets = [shingle_set(x) for x in part.column(1).to_pylist()]
+            sets = [shingle_set(x.as_py()) for x in part.column(1)]
             signatures = [signature(s).tobytes() if len(s) else None for s in sets]
             lists = pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))
             yield pa.record_batch([part.column(0), pa.array(signatures, pa.binary()), lists], ["rep", "signature", "shingles"])
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_keys = current.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     open_rows = current.join(open_keys.select("key", "n"), "key")
-    parts = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    parts = F.greatest(F.least(F.ceil(F.col("n") * SPREAD / F.lit(float(BLOCK))), F.lit(SPREAD)), F.ceil(F.col("n") / F.lit(float(BLOCK)))).cast("int")
     open_rows = open_rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     open_rows = open_rows.join(sets.where("signature IS NOT NULL"), "rep").select(
         "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "number", "part", "rep", "comp", "signature", "shingles"

@@ -45,6 +45,9 @@ def test_stages_one_by_one(spark, small):
     targets = brute_targets(sizes)
     assert max(counts.values()) <= 2
     assert abs(sum(taken.values()) - sum(targets.values())) < 0.1 * sum(targets.values())
+    largest = max(words(r.text) for r in clean.collect())
+    for source, target in targets.items():
+        assert abs(taken.get(source, 0) - target) <= largest, source
 
     packed = stages["packing"](spark, mixed, small)
     assert packed.count() > 0 and "sequence_id" in packed.columns
@@ -59,6 +62,14 @@ def test_odd_rows(spark):
         docs = spark.createDataFrame(stage(spark, docs, None).collect(), stage(spark, docs, None).schema)
     ids = {r.doc_id for r in docs.collect()}
     assert ids <= {1, None, 5} and ids
+    # Columns beside those of documents, named like those that the stages make, and a very long text.
+    clash = ("no", "row_no", "digest", "id", "from", "size", "copies", "copy", "secrets", "component_id", "text_2")
+    long_text = " ".join(f"der hund{i} und die katze{i}" for i in range(30_000))
+    docs = spark.createDataFrame([*rows, (9, long_text, "de", "b", None)], schema).selectExpr("*", *[f"'x' AS `{c}`" for c in clash])
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, None)
+        assert out.columns == COLUMNS and long_text in {r.text for r in out.collect()}
+    assert sum(r.length for r in P.pack(spark, docs, None).collect() if r.doc_id == 9) > 120_000
     empty = spark.createDataFrame([], schema)
     for _, stage in P.STAGES:
         assert stage(spark, empty, None).collect() == []
