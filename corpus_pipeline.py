@@ -6,15 +6,16 @@ are written as Parquet and reread as the next one's.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonolith.llm import langid, minhash_dedup, mixing, packing, secrets
 from sonolith.llm.common import table, word_count, written
 
-#: A document goes if it has no letter or its best language's share of the posterior is below this; with
-#: two or more languages half is more than chance, and prose of a known language scores far above.
-LEAST_SCORE = 0.4
+#: A document goes if it has no letter or no language stands out: the score is the best language's share of
+#: its own and the runner-up's likelihood, whatever the number of languages, and half of it is a tie.
+TIE = 0.5 + 1e-6
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,9 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def accepted(texts):
-        found = texts.map(lambda t: shared.value.predict(t))
-        return found.map(lambda x: x[0] != langid.UNKNOWN and x[1] >= LEAST_SCORE)
+    def accepted(texts: pd.Series) -> pd.Series:
+        found = [(lang, score) for langs, scores in shared.value.predict_texts(texts) for lang, score in zip(langs, scores, strict=True)]
+        return pd.Series([lang != langid.UNKNOWN and score >= TIE for lang, score in found], dtype=bool)
 
     return docs.select(*COLUMNS).where(accepted("text")) if model.languages else docs.select(*COLUMNS).limit(0)
 
