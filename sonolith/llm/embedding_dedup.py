@@ -7,7 +7,8 @@ coordinates come close. Candidate pairs are verified by cosine in double precisi
 
 Equal vectors are one class. In a bucket, pairs are compared block by block inside tasks and never
 leave them: a task returns each vector's number of links and a spanning forest. A pair that meets in
-several buckets counts in the first one only, which both vectors' hashes tell.
+several buckets counts in the first one only, which both vectors' names tell; they are made once and
+travel with the vector. A task works on flat arrays of many buckets at a time.
 """
 
 from __future__ import annotations
@@ -80,77 +81,134 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, rep, home) rows of vectors that have one length in a batch's runs."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, copies, v, names): bucket names of vectors, each table's home bucket first."""
     for batch in batches:
-        widths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        widths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
         for width in np.unique(widths):
             part = batch.filter(pa.array(widths == width))
-            names = buckets(_unit(matrix(part.column(1)))) ^ int(width)
-            n = names[0].size if len(names) else 0
-            home = np.tile(np.arange(1 + PROBES) == 0, TABLES * len(names))
-            yield pa.record_batch(
-                [pa.array(names.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(home)],
-                ["bucket", "rep", "home"],
-            )
+            for start in range(0, part.num_rows, 1024):
+                some = part.slice(start, 1024)
+                names = (buckets(_unit(matrix(some.column("v")))) ^ int(width)).reshape(some.num_rows, -1)
+                yield some.append_column("names", pa.FixedSizeListArray.from_arrays(pa.array(names.reshape(-1)), names.shape[1]).cast(pa.list_(pa.int64())))
 
 
-def _with_links(edges: pa.RecordBatch) -> pa.RecordBatch:
-    return edges.append_column("links", pa.array([0] * edges.num_rows, pa.int64()))
+def _asked(hashed: DataFrame) -> DataFrame:
+    """(rep, bucket, home), a row for each distinct bucket that a vector is stored in or asks."""
+    homes = F.filter("names", lambda _, i: i % (1 + PROBES) == 0)
+    with_homes = hashed.select("rep", "names", homes.alias("homes"))
+    every = F.transform(F.array_distinct("names"), lambda n: F.struct(n.alias("bucket"), F.array_contains("homes", n).alias("home")))
+    return with_homes.select("rep", F.explode(every).alias("b")).select("rep", "b.bucket", "b.home")
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each run, the runs given by start and size, some 100,000 at a time."""
+    rows = _ranges(starts, sizes)
+    later = np.repeat(starts + sizes, sizes) - rows - 1
+    cuts = np.searchsorted(np.cumsum(later), np.arange(100_000, later.sum() + 100_000, 100_000), side="left") + 1
+    for i, j in itertools.pairwise([0, *dict.fromkeys(cuts.tolist())]):
+        yield np.repeat(rows[i:j], later[i:j]), _ranges(rows[i:j] + 1, later[i:j])
+
+
+class _Run:
+    """Columns of rows that hold whole (bucket, x, y) runs."""
+
+    def __init__(self, table: pa.Table):
+        flat = {c: table.column(c).to_numpy() for c in ("bucket", "x", "y", "part", "rep", "copies", "home")}
+        self.bucket, self.x, self.y, self.part, self.rep, self.copies, self.home = flat.values()
+        self.names = matrix(table.column("names"), TABLES * (1 + PROBES), np.int64).reshape(len(self.rep), TABLES, 1 + PROBES)
+        widths = table.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        # Runs hold one width, or by a clash of 64-bit names several; the zeros behind a shorter one add nothing.
+        self.width = widths
+        self.unit = np.zeros((len(widths), widths.max(initial=1)))
+        for width in np.unique(widths):
+            here = np.flatnonzero(widths == width)
+            self.unit[here, :width] = _unit(matrix(table.column("v").take(pa.array(here))))
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs to verify: those of small runs one by one, of large ones if a block product comes near."""
+        edge = np.flatnonzero((np.diff(self.bucket) != 0) | (np.diff(self.x) != 0) | (np.diff(self.y) != 0)) + 1
+        starts = np.concatenate([[0], edge]).astype(np.int64)
+        sizes = np.diff(np.append(starts, len(self.bucket)))
+        small = sizes <= 64
+        yield from _pairs(starts[small], sizes[small])
+        for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            for i in range(start, start + size, 256):
+                j = min(i + 256, start + size)
+                p, q = np.nonzero(self.unit[i:j] @ self.unit[i : start + size].T >= self.least - 1e-9)
+                yield p[p < q] + i, q[p < q] + i
+
+    def links(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows with a cosine of ``least`` or more, under the first bucket where they meet only."""
+        self.least = least
+        for a, b in self.candidates():
+            for i in range(0, len(a), 20_000):
+                p, q = a[i : i + 20_000], b[i : i + 20_000]
+                some = (self.home[p] | self.home[q]) & ((self.x[p] == self.y[p]) | (self.part[p] != self.part[q])) & (self.width[p] == self.width[q])
+                p, q = p[some], q[some]
+                p, q = np.where(self.rep[p] < self.rep[q], p, q), np.where(self.rep[p] < self.rep[q], q, p)
+                near = np.einsum("ij,ij->i", self.unit[p], self.unit[q]) >= least
+                p, q = p[near], q[near]
+                at_p = (self.names[p][:, :, :1] == self.names[q]).any(axis=2)
+                at_q = (self.names[q][:, :, :1] == self.names[p]).any(axis=2)
+                table, line = (at_p | at_q).argmax(axis=1), np.arange(len(p))
+                first = np.where(at_p[line, table], self.names[p, table, 0], self.names[q, table, 0]) == self.bucket[p]
+                yield p[first], q[first]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least labels of the rows after joining the pairs (a, b)."""
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
 def _linked(least: float):
+    """(a, null, links): other vectors linked with a; (a, b, 0): edges of a spanning forest."""
+
+    def counted(table: pa.Table, forest: Forest) -> pa.RecordBatch:
+        run = _Run(table)
+        links, label = np.zeros(len(run.rep)), np.arange(len(run.rep))
+        for p, q in run.links(least):
+            links += np.bincount(p, run.copies[q], len(links)) + np.bincount(q, run.copies[p], len(links))
+            label = _joined(label, p, q)
+        for i in np.flatnonzero(label != np.arange(len(label))):
+            forest.join(int(run.rep[i]), int(run.rep[label[i]]))
+        some = np.flatnonzero(links)
+        return pa.record_batch([pa.array(run.rep[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "part", "rep", "copies", "home", "v")), strict=True)
-
-        forest = Forest()
-        for (bucket, x, y), run in itertools.groupby(rows(), key=lambda r: r[:3]):
-            run = list(run)
-            if len(run) < 2:
-                continue
-            part = np.array([r[3] for r in run])
-            rep, copies = np.array([r[4] for r in run], np.int64), np.array([r[5] for r in run], np.int64)
-            home = np.array([r[6] for r in run])
-            unit = _unit(np.array([r[7] for r in run], float))
-            names = None  # made for the rows that have a near one
-            left, right = (np.flatnonzero(part == x), np.flatnonzero(part == y)) if x != y else (np.arange(len(run)),) * 2
-            links = np.zeros(len(run), np.int64)
-            for i in range(0, len(left), 256):
-                block = left[i : i + 256]
-                near = (unit[block] @ unit[right].T >= least) & (home[block][:, None] | home[right][None, :])
-                near &= (rep[block][:, None] < rep[right][None, :]) if x == y else (rep[block][:, None] != rep[right][None, :])
-                p, q = np.nonzero(near)
-                if len(p) and names is None:
-                    close = (unit @ unit.T >= least).sum(axis=1) > 1 if len(run) <= 512 else np.ones(len(run), bool)
-                    names = np.zeros((len(run), TABLES, 1 + PROBES), np.int64)
-                    names[close] = buckets(unit[close]) ^ unit.shape[1]
-                for j in range(0, len(p), 20_000):
-                    a, b = block[p[j : j + 20_000]], right[q[j : j + 20_000]]
-                    a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
-                    # Where the pair meets: at the home of one that the other asks.
-                    at_a = (names[a][:, :, :1] == names[b]).any(axis=2)
-                    at_b = (names[b][:, :, :1] == names[a]).any(axis=2)
-                    table = (at_a | at_b).argmax(axis=1)
-                    line = np.arange(len(a))
-                    where = np.where(at_a[line, table], names[a, table, 0], names[b, table, 0])
-                    a, b = a[where == bucket], b[where == bucket]
-                    np.add.at(links, a, copies[b])
-                    np.add.at(links, b, copies[a])
-                    for m, n in zip(rep[a].tolist(), rep[b].tolist(), strict=True):
-                        forest.join(m, n)
-            some = np.flatnonzero(links)
-            yield pa.record_batch(
-                [pa.array(rep[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], ["a", "b", "links"]
-            )
+        forest, held = Forest(), None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = [held.column(c).to_numpy() for c in ("bucket", "x", "y")]
+            change = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys]))
+            if len(change):  # the last run may go on in the next batch
+                yield counted(held.slice(0, int(change[-1]) + 1), forest)
+                held = held.slice(int(change[-1]) + 1)
             if len(forest.parent) > 200_000:
                 yield _with_links(forest.flush())
+        if held is not None and held.num_rows:
+            yield counted(held, forest)
         yield _with_links(forest.flush())
 
     return run
 
 
+def _with_links(edges: pa.RecordBatch) -> pa.RecordBatch:
+    return edges.append_column("links", pa.array([0] * edges.num_rows, pa.int64()))
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors``.
 
@@ -167,14 +225,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     members = used.join(classes.select("v", "rep", "copies"), "v").select("vec_id", "rep", "copies")
     members = written(members, "vector_members")
 
-    asked = classes.select("rep", "v").mapInArrow(lambda b: _asked(_small(b)), "bucket long, rep long, home boolean")
-    asked = written(asked.groupBy("bucket", "rep").agg(F.max("home").alias("home")), "asked")
-    shared = asked.groupBy("bucket").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 AND any").select("bucket", "n")
-    parts = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    met = asked.join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(classes, "rep")
+    hashed = classes.mapInArrow(_hashed, "v array<double>, rep long, copies long, names array<long>")
+    hashed = written(hashed, "hashed")
+    shared = _asked(hashed).groupBy("bucket").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 AND any").select("bucket", "n")
+    # Blocks of an eighth of a group, but not of fewer than block / 8 or of more than block rows.
+    parts = F.greatest(F.least(F.ceil(F.col("n") * 8 / F.lit(float(block))), F.lit(8)), F.ceil(F.col("n") / F.lit(float(block)))).cast("int")
+    met = _asked(hashed).join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(hashed, "rep")
     met = met.select(
-        "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "copies", "home", "v"
+        "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "copies", "home", "v", "names"
     ).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     found = written(met.mapInArrow(_linked(least), "a long, b long, links long"), "links")
 
@@ -192,12 +251,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     )
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            yield batch.slice(start, 1024)
-
-
 #: DuckDB SQL for all links that ``near_duplicates`` over ``embeddings`` may find (vec_id unique).
 ORACLE_SQL = """
 WITH RECURSIVE usable AS (

@@ -22,9 +22,9 @@ def rows_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), numeric(F.col(vector_col)).alias("v"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
-    """Lists of equal length as a matrix of doubles."""
+def matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None, kind=np.float64) -> np.ndarray:
+    """Lists of equal length as a matrix of doubles, or of another type."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, width or 0)
