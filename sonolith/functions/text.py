@@ -92,3 +92,14 @@ def combo_code(pre: Column, denoise: Column, segment: Column, augment: Column) -
 
 def template(text: Column, name: str, value: str) -> Column:
     return F.replace(text, F.lit("${" + name + "}"), F.lit(value))
+
+
+#: Fixed format: the name of a combination of options.
+COMBO_TAG = "%s_%s_%sHz_%sbit_%s_D%s__PE%s_Amp%s_S%s_Aug%s"
+COMBO_FIELDS = (
+    "subset", "format", "sampling_rate", "bit_depth", "channels", "denoising", "pre_emphasis", "amplitude_method", "segmentation", "augmentation",
+)
+
+
+def combo_tag() -> Column:
+    return F.format_string(COMBO_TAG, *[F.col(c).cast("string") for c in COMBO_FIELDS])

@@ -52,7 +52,27 @@ def normalized(clips: DataFrame, rate: int | None = None, bits: int | None = Non
     return out
 
 
+#: Formats and channel counts that options name.
+FORMATS = ("wav", "flac", "mp3", "ogg")
+CHANNELS = {"mono": 1, "stereo": 2}
+
+
+def targeted(clips: DataFrame, format: str | None = None, channels: str | None = None) -> DataFrame:
+    """The format and channel count that a sink writes; clips hold one channel, which stereo repeats there."""
+    if format is not None and format.lower() not in FORMATS:
+        raise ValueError(f"unknown format {format}")
+    if channels is not None and channels.lower() not in CHANNELS:
+        raise ValueError(f"unknown channels {channels}")
+    out = clips.withColumn("format", F.lit(format.lower())) if format else clips
+    return out.withColumn("channels", F.lit(CHANNELS[channels.lower()])) if channels else out
+
+
+#: Other names that options use for denoising methods.
+_DENOISE = {"spectral_sub": "spectral_subtraction"}
+
+
 def denoised(clips: DataFrame, method: str = "wiener") -> DataFrame:
+    method = _DENOISE.get(method, method)
     if method == "none":
         return clips
     if method not in K.DENOISE:
@@ -76,11 +96,12 @@ _SEGMENT = {"time_based": "time", "event_based": "event"}
 
 
 def segmented(clips: DataFrame, method: str = "time", length: float = 5.0) -> DataFrame:
-    """A row for each segment, with seg_no, start_sec and end_sec; ``event`` keeps the runs of loud frames."""
+    """A row for each segment, with seg_no, start_sec and end_sec; ``event`` keeps the runs of loud frames,
+    ``adaptive`` those of the window and weight that give the fewest. A clip that fails is one failed row."""
     method = _SEGMENT.get(method, method)
     if method == "none":
         return clips
-    if method not in ("time", "event"):
+    if method not in ("time", "event", "adaptive"):
         raise ValueError(f"unknown segmentation {method}")
     n = F.size("samples")
     total = n / F.col("sr")
@@ -93,10 +114,22 @@ def segmented(clips: DataFrame, method: str = "time", length: float = 5.0) -> Da
 
         @F.pandas_udf("array<struct<start_sec:double,end_sec:double>>")
         def cut_events(samples: pd.Series, rate: pd.Series) -> pd.Series:
-            return pd.Series([loud_runs(np.asarray(y, float), int(sr)) for y, sr in zip(samples, rate, strict=True)])
+            find = fewest_runs if method == "adaptive" else loud_runs
+            found = []
+            for y, sr in zip(samples, rate, strict=True):
+                try:
+                    found.append(find(np.asarray(y, float), int(sr)))
+                except Exception:  # a clip that fails is reported, never dropped
+                    found.append(None)
+            return pd.Series(found)
 
         cut = cut_events("samples", "sr")
-    out = clips.select(*clips.columns, F.posexplode(cut).alias("_k", "_s"))
+        if "status" not in clips.columns:
+            clips = clips.withColumns({"status": F.lit("success"), "error": F.lit(None).cast("string")})
+    out = clips.select(*clips.columns, F.posexplode_outer(cut).alias("_k", "_s"))
+    if method != "time":
+        bad = F.col("_k").isNull() & (F.col("status") == "success")
+        out = out.withColumns({"error": F.when(bad, "segmentation failed").otherwise(F.col("error")), "status": F.when(bad, "failed").otherwise(F.col("status"))})
     a, b = (F.col("_s.start_sec") * F.col("sr")).cast("int"), (F.col("_s.end_sec") * F.col("sr")).cast("int")
     return out.withColumns(
         {"seg_no": F.col("_k") + 1, "start_sec": F.col("_s.start_sec"), "end_sec": F.col("_s.end_sec"), "samples": F.slice("samples", a + 1, F.greatest(b - a, F.lit(0)))}
@@ -113,14 +146,25 @@ def loud_runs(y: np.ndarray, rate: int, window=0.05, weight=0.5, least=0.2, gap=
     order, k = np.sort(energy), max(1, len(energy) // 10)
     loud = energy >= (1 - weight) * order[:k].mean() + weight * order[-k:].mean()
     edges = np.flatnonzero(np.diff(np.concatenate([[0], loud.astype(int), [0]])))
-    runs = [(a * step / rate, min(b * step, len(y)) / rate) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    out: list[list[float]] = []
-    for a, b in (r for r in runs if r[1] - r[0] >= least):
-        if out and a - out[-1][1] <= gap:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [{"start_sec": a, "end_sec": b} for a, b in out] or whole
+    first, last = edges[::2] * step / rate, np.minimum(edges[1::2] * step, len(y)) / rate
+    long = last - first >= least
+    first, last = first[long], last[long]
+    if not len(first):
+        return whole
+    # Runs are apart and in order, so a new segment starts where the silence before is long.
+    starts = np.flatnonzero(np.append(True, first[1:] - last[:-1] > gap))
+    stops = np.append(starts[1:], len(first)) - 1
+    return [{"start_sec": float(first[a]), "end_sec": float(last[b])} for a, b in zip(starts, stops, strict=True)]
+
+
+#: Windows and weights that the adaptive method tries.
+ADAPTIVE = {"window": (0.5, 1.0, 2.0), "weight": (0.3, 0.5, 0.7)}
+
+
+def fewest_runs(y: np.ndarray, rate: int) -> list[dict]:
+    """The segments of the first window and weight that give the fewest."""
+    tried = [loud_runs(y, rate, window, weight, least=1.0) for window in ADAPTIVE["window"] for weight in ADAPTIVE["weight"]]
+    return min(tried, key=len)
 
 
 def augmented(clips: DataFrame, methods: list[str] | None = None, copies: int = 2, seed: int = 42, include_original: bool = False) -> DataFrame:
@@ -186,6 +230,8 @@ def option_steps(option: dict, train: bool) -> list[tuple]:
     """Steps of one combination in the fixed order; the word none, null and 0 leave a step out."""
     value = lambda name: None if option.get(name) is None or str(option[name]).lower() == "none" else option[name]
     steps: list[tuple] = []
+    if value("format") or value("channels"):
+        steps.append((targeted, {"format": value("format"), "channels": value("channels")}))
     if value("sampling_rate") or value("bit_depth"):
         steps.append((normalized, {"rate": int(value("sampling_rate") or 0) or None, "bits": int(value("bit_depth") or 0) or None}))
     if value("denoising"):

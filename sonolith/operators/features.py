@@ -44,8 +44,8 @@ def anova(long: DataFrame, label: str = "label") -> DataFrame:
 
 def mutual_information(long: DataFrame, label: str = "label", bins: int = 10) -> DataFrame:
     """(feature, mi) in nats between equal-width bins of a feature and the label."""
-    lo, hi = F.min("value").over(by_feature()), F.max("value").over(by_feature())
-    binned = long.withColumns({"_lo": lo, "_hi": hi}).withColumn(
+    ends = long.groupBy(F.col("feature").alias("_f")).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))  # a row a feature
+    binned = long.join(ends, F.col("feature").eqNullSafe(F.col("_f"))).withColumn(
         "bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
     )
     cells = binned.groupBy("feature", "bin", label).agg(F.count("*").alias("n"))
@@ -91,6 +91,13 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return pairs.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def mean_confusion(predictions: DataFrame, split: str = "split") -> DataFrame:
+    """(label, prediction, n): the mean over the splits of the confusion matrix, 0 where a split has none."""
+    splits = predictions.select(split).distinct().count()
+    every = confusion(predictions.select("label", "prediction"))
+    return every.withColumn("n", F.col("n") / F.lit(splits))
+
+
 def weighted_metrics(predictions: DataFrame, *by: str) -> DataFrame:
     """Accuracy, and precision, recall and F1 weighted by support; a ratio without a base counts 0."""
     cells = predictions.groupBy(*by, "label", "prediction").agg(F.count("*").alias("n"))

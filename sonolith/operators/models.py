@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import math
 import random
 import time
+from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clips
-from .features import aggregated, weighted_metrics
-from .tables import folds, group_split, leaks, row_split
+from .features import aggregated, best_features, majority_vote, mutual_information, weighted_metrics
+from .tables import folds, group_folds, group_split, leaks, row_split
 
 #: Default sizes of the models.
 DEFAULTS = {"n_estimators": 150, "max_depth": 6}
@@ -32,39 +36,90 @@ def get_model(name: str, params: dict | None = None, **kwargs):
         tree = GBTClassifier(maxIter=int(values["n_estimators"]), maxDepth=int(values["max_depth"]), stepSize=float(values.get("learning_rate", 0.1)), seed=seed, featuresCol="features")
         return OneVsRest(classifier=tree, labelCol="label_id", featuresCol="features", parallelism=int(values.get("parallelism", 4)))
     if name == "m3gp":
-        return M3GP(generations=int(values.get("generations", 50)), depth=int(values["max_depth"]), seed=seed)
-    if name == "minirocket":
+        return M3GP(generations=int(values.get("generations", values.get("max_generation", 50))), depth=int(values["max_depth"]), seed=seed)
+    if name == "minirocket":  # the linear classifier over the transform ``clips.rocket``
         return LogisticRegression(labelCol="label_id", featuresCol="features", regParam=float(values.get("reg", 0.01)))
     raise ValueError(f"unknown model {name}")
 
 
 class M3GP:
-    """Features evolved as products, sums and ratios of two others, kept if they raise the between-class share.
+    """Multidimensional genetic programming: an individual is a list of expressions, each a new dimension.
 
-    A small driver loop over column expressions in the manner of multidimensional genetic programming: each
-    generation tries one random new dimension, scored in one pass of aggregation over the data.
+    Every generation makes children of the better individuals (a dimension swapped with another parent's,
+    an operand replaced, a dimension added or dropped) and scores all new dimensions in one aggregation over
+    the data: their between-class share of the variance. An individual's fitness is the mean of its
+    dimensions, less a little for each; the best are kept, so the best fitness never falls.
     """
 
-    def __init__(self, generations: int = 50, depth: int = 6, seed: int = 42):
-        self.generations, self.depth, self.seed = generations, depth, seed
+    OPERATIONS = ("({a} * {b})", "({a} + {b})", "({a} - {b})", "({a} / (1 + abs({b})))")
+
+    def __init__(self, generations: int = 50, depth: int = 6, seed: int = 42, population: int = 12):
+        self.generations, self.depth, self.seed, self.population = generations, depth, seed, population
+
+    def _grown(self, rng: random.Random, names: list[str]) -> tuple:
+        """A random expression as nested tuples."""
+        tree: tuple | str = rng.choice(names)
+        for _ in range(rng.randint(0, max(1, self.depth // 3))):
+            tree = (rng.choice(self.OPERATIONS), tree, rng.choice(names))
+        return tree
+
+    def _changed(self, rng: random.Random, tree, names: list[str]):
+        if isinstance(tree, str) or rng.random() < 0.3:
+            return self._grown(rng, names)
+        op, a, b = tree
+        return (rng.choice(self.OPERATIONS), a, b) if rng.random() < 0.3 else (op, self._changed(rng, a, names), b) if rng.random() < 0.5 else (op, a, self._changed(rng, b, names))
+
+    def _depth(self, tree) -> int:
+        return 0 if isinstance(tree, str) else 1 + max(map(self._depth, tree[1:]))
+
+    def text(self, tree) -> str:
+        return f"`{tree}`" if isinstance(tree, str) else tree[0].format(a=self.text(tree[1]), b=self.text(tree[2]))
+
+    def _shares(self, df: DataFrame, label: str, trees: list) -> list[float]:
+        """Between-class share of each dimension's variance, in one pass."""
+        texts = [F.expr(self.text(t)) for t in trees]
+        per = df.groupBy(label).agg(F.count("*").alias("n"), *[f(e).alias(f"{k}{i}") for i, e in enumerate(texts) for f, k in ((F.avg, "m"), (F.var_pop, "v"))])
+        rows = per.collect()  # a row a class
+        n, out = np.array([r["n"] for r in rows], float), []
+        for i in range(len(trees)):
+            m, v = (np.nan_to_num(np.array([r[f"{k}{i}"] or 0.0 for r in rows], float)) for k in "mv")
+            between = float(n @ (m - (n @ m) / n.sum()) ** 2)
+            total = between + float(n @ v)
+            out.append(between / total if total > 0 and np.isfinite(total) else 0.0)
+        return out
 
     def expressions(self, df: DataFrame, names: list[str], label: str = "label_id") -> list[str]:
-        rng, ops, tried = random.Random(self.seed), ("{a} * {b}", "{a} + {b}", "{a} - {b}", "{a} / (1 + abs({b}))"), []
+        rng, known = random.Random(self.seed), {}
+        people = [tuple({self._grown(rng, names) for _ in range(rng.randint(1, 3))}) for _ in range(self.population)]
+
+        def fitness(person: tuple) -> float:
+            return sum(known[t] for t in person) / len(person) - 0.001 * len(person)
+
+        def scored(some: list[tuple]) -> None:
+            new = list(dict.fromkeys(t for p in some for t in p if t not in known))
+            if new:
+                known.update(zip(new, self._shares(df, label, new), strict=True))
+
+        scored(people)
         for _ in range(self.generations):
-            expr = f"`{rng.choice(names)}`"
-            for _ in range(rng.randint(1, max(1, self.depth // 3))):
-                expr = "(" + rng.choice(ops).format(a=expr, b=f"`{rng.choice(names)}`") + ")"
-            tried.append(expr)
-        tried = list(dict.fromkeys(tried))
-        per = df.groupBy(label).agg(F.count("*").alias("n"), *[f(F.expr(e)).alias(f"{k}{i}") for i, e in enumerate(tried) for f, k in ((F.avg, "m"), (F.var_pop, "v"))])
-        rows = per.collect()  # a row a class
-        n = np.array([r["n"] for r in rows], float)
-        score = []
-        for i in range(len(tried)):
-            m, v = np.array([r[f"m{i}"] for r in rows]), np.array([r[f"v{i}"] for r in rows])
-            between = (n * (m - (n @ m) / n.sum()) ** 2).sum()
-            score.append(between / ((n * v).sum() + 1e-12))
-        return [tried[i] for i in np.argsort(score)[::-1][: self.depth]]
+            people.sort(key=lambda p: (-fitness(p), str(p)))
+            parents, children = people[: max(2, self.population // 2)], []
+            while len(children) < self.population:
+                one, two = list(rng.choice(parents)), rng.choice(parents)
+                at, kind = rng.randrange(len(one)), rng.random()
+                if kind < 0.4:
+                    one[at] = rng.choice(two)
+                elif kind < 0.8:
+                    one[at] = self._changed(rng, one[at], names)
+                elif kind < 0.9 or len(one) == 1:
+                    one.append(self._grown(rng, names))
+                else:
+                    one.pop(at)
+                if all(self._depth(t) <= self.depth for t in one):
+                    children.append(tuple(dict.fromkeys(one)))
+            scored(children)
+            people = sorted({*people, *children}, key=lambda p: (-fitness(p), str(p)))[: self.population]
+        return [self.text(t) for t in people[0]]
 
 
 def with_expressions(df: DataFrame, expressions: list[str]) -> tuple[DataFrame, list[str]]:
@@ -72,18 +127,23 @@ def with_expressions(df: DataFrame, expressions: list[str]) -> tuple[DataFrame,
     return df.withColumns({n: F.expr(e) for n, e in zip(names, expressions, strict=True)}), names
 
 
-def preparation(names: list[str], label: str = "label", top_k: int | None = None, method: str = "f_classif", scale: bool = True) -> list:
-    """Stages: labels in alphabetical order, mean imputation, assembling, scaling, selection."""
+def preparation(names: list[str], label: str = "label", top_k: int | None = None, method: str = "f_classif", scale: bool = True, vector: str | None = None) -> list:
+    """Stages: labels in alphabetical order, mean imputation, assembling, scaling, selection.
+
+    With ``vector`` the features are that column of vectors without gaps; there is nothing to impute or assemble.
+    ``method`` is f_classif or pca; mutual_info is settled before, by ``fitted``, which names the features.
+    """
+    if top_k and method not in ("f_classif", "pca"):
+        raise ValueError(f"unknown selection method {method}")
     filled = [f"{n}__filled" for n in names]
-    stages = [
-        StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        Imputer(inputCols=names, outputCols=filled, strategy="mean"),
-        VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"),
-    ]
-    last = "raw"
+    stages = [StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="keep")]
+    if not vector:
+        stages.append(Imputer(inputCols=names, outputCols=filled, strategy="mean"))
+        stages.append(VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"))
+    last = vector or "raw"
     if scale:
         # Divides by the sample deviation; the constant factor to the population's changes no model here.
-        stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True))
+        stages.append(StandardScaler(inputCol=last, outputCol="scaled", withMean=True, withStd=True))
         last = "scaled"
     if top_k and method == "pca":
         stages.append(PCA(k=min(top_k, len(names)), inputCol=last, outputCol="features"))
@@ -95,26 +155,80 @@ def preparation(names: list[str], label: str = "label", top_k: int | None = None
     return stages
 
 
-def fitted(train: DataFrame, names: list[str], model: str = "random_forest", label: str = "label", top_k: int | None = None, **params) -> PipelineModel:
-    estimator = get_model(model, params)
+def opened_vector(df: DataFrame, names: list[str], vector: str) -> DataFrame:
+    """``df`` with a column for each number of the vector."""
+    wide = df.withColumn("_numbers", vector_to_array(vector))
+    return wide.select(*df.columns, *[F.get("_numbers", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+@dataclass
+class Fitted:
+    """A fitted pipeline, and what it needs first: a vector's numbers as columns, evolved expressions."""
+
+    pipeline: PipelineModel
+    expressions: list[str] = field(default_factory=list)
+    opened: tuple[str, list[str]] | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        wide = opened_vector(df, self.opened[1], self.opened[0]) if self.opened else df
+        return self.pipeline.transform(with_expressions(wide, self.expressions)[0])
+
+    @property
+    def labels(self) -> list[str]:
+        return self.pipeline.stages[0].labels
+
+    def save(self, path: str) -> None:
+        """Writes the model below ``path``, replacing what is there."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps([self.expressions, self.opened]),)], "value string").write.mode("overwrite").text(f"{path}/expressions")
+
+    @classmethod
+    def load(cls, path: str) -> Fitted:
+        lines = SparkSession.active().read.text(f"{path}/expressions")
+        expressions, opened = json.loads(lines.first()[0])
+        return cls(PipelineModel.load(f"{path}/pipeline"), expressions, opened and tuple(opened))
+
+
+def fitted(
+    train: DataFrame, names: list[str], model: str = "random_forest", label: str = "label", top_k: int | None = None,
+    method: str = "f_classif", scale: bool = True, vector: str | None = None, **params,
+) -> Fitted:
+    """``model`` fitted on ``train``: imputation, scaling and selection of ``top_k`` features are part of it.
+
+    ``vector`` names a column that holds the features ``names`` as one vector; evolving features and selection
+    by mutual information read it by position.
+    """
+    estimator, expressions, opened = get_model(model, params), [], None
+    train = train.withColumn(label, F.col(label).cast("string"))
+    if vector and (isinstance(estimator, M3GP) or (top_k and method == "mutual_info")):
+        train, opened, vector = opened_vector(train, names, vector), (vector, names), None
+    if top_k and method == "mutual_info":
+        filled = train.na.fill(0, names)
+        long = filled.select(label, *names).unpivot([label], names, "feature", "value")
+        names = [r.feature for r in best_features(mutual_information(long, label), "mi", min(top_k, len(names))).collect()]
+        top_k = None
     if isinstance(estimator, M3GP):
-        raise ValueError("fit m3gp with fit_m3gp")
-    return Pipeline(stages=[*preparation(names, label, top_k), estimator]).fit(train.withColumn(label, F.col(label).cast("string")))
+        expressions = estimator.expressions(train.na.fill(0, names), names, label)
+        train, names = with_expressions(train, expressions)
+        wide = {"n_estimators": 50, "max_depth": 20} | {k: v for k, v in params.items() if k in ("n_estimators", "max_features", "seed")}
+        estimator, top_k = get_model("random_forest", wide), None
+    return Fitted(Pipeline(stages=[*preparation(names, label, top_k, method, scale, vector), estimator]).fit(train), expressions, opened)
 
 
-def predicted(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
+def predicted(model: Fitted, df: DataFrame, label: str = "label") -> DataFrame:
     """``df`` with label and prediction as text."""
-    labels = model.stages[0].labels
+    labels = model.labels
     out = model.transform(df.withColumn(label, F.col(label).cast("string")))
     return out.withColumn("prediction", F.get(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int"))).withColumn("label", F.col(label))
 
 
-def fit_m3gp(train: DataFrame, names: list[str], label: str = "label", **params):
-    """(pipeline model, expressions): a forest on the evolved dimensions."""
-    gp = get_model("m3gp", params)
-    found = gp.expressions(train.na.fill(0, names), names, label)
-    wide, own = with_expressions(train, found)
-    return fitted(wide, own, "random_forest", label, n_estimators=int(params.get("n_estimators", 50))), found
+def evaluated(model: Fitted, df: DataFrame, label: str = "label", key: str | None = None) -> DataFrame:
+    """Weighted metrics of the predictions; with ``key``, of each file's vote over its segments."""
+    rows = predicted(model, df, label)
+    if key:
+        rows = majority_vote(rows.select(key, (F.col("seg_no") if "seg_no" in df.columns else F.lit(1)).alias("seg_no"), "label", "prediction"), key)
+    return weighted_metrics(rows.select("label", "prediction"))
 
 
 def splits(df: DataFrame, id_col: str, n: int, share: float = 0.2, group: str | None = None, seed: int = 42):
@@ -166,16 +280,15 @@ def sampled_space(space: dict[str, dict], n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def tuned(df: DataFrame, names: list[str], candidates: list[dict], id_col: str, model: str = "random_forest", label: str = "label", k: int = 3, group: str | None = None, seed: int = 42) -> tuple[dict, float]:
-    """The candidate of the best mean weighted F1 over k folds, whole groups if there are any; the first on a tie."""
-    from .tables import group_folds
-
+def tuned(df: DataFrame, names: list[str], candidates: list[dict], id_col: str, model: str = "random_forest", label: str = "label", k: int = 3, group: str | None = None, seed: int = 42, **fixed) -> tuple[dict, float]:
+    """The candidate of the best mean weighted F1 over k folds, whole groups if there are any; the first on a
+    tie. A candidate wins over ``fixed`` parameters."""
     rows = group_folds(df, group, k) if group else folds(df, id_col, label, k, seed)
     best = ({}, -1.0)
     for params in candidates:
         scores = []
         for fold in range(k):
-            fit = fitted(rows.where(F.col("fold") != fold), names, model, label, **params)
+            fit = fitted(rows.where(F.col("fold") != fold), names, model, label, **fixed | params)
             scores.append(weighted_metrics(predicted(fit, rows.where(F.col("fold") == fold), label).select("label", "prediction")).first()["f1"])
         if np.mean(scores) > best[1]:
             best = (params, float(np.mean(scores)))
@@ -183,46 +296,45 @@ def tuned(df: DataFrame, names: list[str], candidates: list[dict], id_col: str,
 
 
 def grid_candidates(grid: dict[str, list]) -> list[dict]:
-    from itertools import product
-
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def _domain(ready: DataFrame, domain: str) -> DataFrame:
-    return clips.extracted(ready, [domain])
-
-
-def run_grid(recordings: DataFrame, combos: list[dict], domains: list[str], models: list[str], results_path: str, group: str = "group", subset: str = "S", seed: int = 42, **params) -> list[str]:
-    """Every combination, domain and model: prepare, extract, train, evaluate, append results. A failure is
-    logged in the returned list and the run goes on; combinations already recorded add nothing."""
-    from ..functions.kernels import EXTRACTORS
-    from ..sources.results import append_results
-
-    split, failures = group_split(recordings, group, seed=seed), []
-    for combo in combos:
-        try:
-            sides, prepared = {}, {}
-            for side in ("train", "test"):
-                ready = clips.pipeline(split.where(F.col("split") == side), clips.option_steps(combo, side == "train"))
-                prepared[side], sides[side] = ready, clips.extracted(ready, domains)
-            sample = sides["train"].where("ok").select("features").first()
-            if sample is None:
-                raise ValueError("no clip has features")
-            all_names = sorted(sample["features"])
-        except Exception as e:
-            failures.append(f"{combo}: {e}")
-            continue
-        for domain in domains:
-            alone = sides if len(domains) == 1 else {s: _domain(ready, domain) for s, ready in prepared.items()}
-            names = all_names if len(domains) == 1 else sorted(alone["train"].where("ok").select("features").first()["features"])
-            train, test = (clips.feature_table(alone[s], names, "file_id", "label").withColumn("label", F.col("label").cast("string")) for s in ("train", "test"))
-            for model in models:
-                try:
-                    fit = fitted(train, names, model, **params)
-                    scores = weighted_metrics(predicted(fit, test).select("label", "prediction"))
-                    key = {"subset": subset, "domain": domain, "model": model, **{k: str(v) for k, v in combo.items()}}
-                    row = scores.withColumns({k: F.lit(v) for k, v in key.items()})
-                    append_results(row, results_path, tuple(key))
-                except Exception as e:
-                    failures.append(f"{combo} {domain} {model}: {e}")
-    return failures
+def grid_size(grid: dict[str, list]) -> int:
+    """Points of a grid as the configuration has it (model: param_grid: name: values)."""
+    return math.prod(len(v) for v in grid.values())
+
+
+def drawn_candidates(grid: dict[str, list], n: int, seed: int = 42) -> list[dict]:
+    """All points of a small grid, or ``n`` seeded draws of a large one, which is never listed."""
+    if grid_size(grid) <= n:
+        return grid_candidates(grid)
+    rng = random.Random(seed)
+    return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n)]
+
+
+def train_simple(
+    df: DataFrame, names: list[str], id_col: str, model: str = "random_forest", share: float = 0.2, seed: int = 42, label: str = "label",
+    grid: dict[str, list] | None = None, trials: int = 50, save_to: str | None = None, **params,
+) -> tuple[Fitted, DataFrame, DataFrame]:
+    """(model, test rows, metrics of the test rows) of one stratified split; with ``grid``, tuned on it over 5 folds."""
+    rows = row_split(df, id_col, share, seed, label)
+    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+    if grid:
+        params = params | tuned(train, names, drawn_candidates(grid, trials, seed), id_col, model, label, 5, seed=seed, **params)[0]
+    fit = fitted(train, names, model, label, **params)
+    if save_to:
+        fit.save(save_to)
+    return fit, test, evaluated(fit, test, label)
+
+
+def train_monte_carlo(
+    df: DataFrame, names: list[str], id_col: str, model: str = "random_forest", n_splits: int = 10, group: str | None = None, seed: int = 42,
+    label: str = "label", grid: dict[str, list] | None = None, trials: int = 50, save_to: str | None = None, **params,
+) -> tuple[Fitted, DataFrame, dict]:
+    """(model, summary, parameters): tuned over 3 folds, scored over Monte-Carlo splits, fitted again on all rows."""
+    found = tuned(df, names, drawn_candidates(grid, trials, seed), id_col, model, label, 3, group, seed, **params)[0] if grid else {}
+    scores = monte_carlo(df, names, id_col, model, n_splits, group, label, seed, **params | found)
+    fit = fitted(df, names, model, label, **params | found)
+    if save_to:
+        fit.save(save_to)
+    return fit, summary(scores), found

@@ -31,12 +31,27 @@ def preemphasis(long: DataFrame, c: float | None = 0.97) -> DataFrame:
     return long.withColumn("y", F.coalesce(F.col("y") - F.lit(c) * F.lag("y").over(in_order()), F.col("y")))
 
 
-def undone_preemphasis(samples: Column, c: float = 0.97) -> Column:
-    """out[n] = y[n] + c * out[n-1] over an array."""
+def undone_preemphasis(samples: Column, c: float = 0.97, block: int = 256) -> Column:
+    """out[n] = y[n] + c * out[n-1] over an array, in time linear in its length.
+
+    Blocks are filtered alone, as if silence came before; what a block leaves behind fades into the next.
+    """
     none = F.array().cast("array<double>")
-    start = F.struct(F.lit(0.0).alias("t"), none.alias("xs"))
-    step = lambda s, y: F.struct((y + F.lit(c) * s.t).alias("t"), F.concat(s.xs, F.array(y + F.lit(c) * s.t)).alias("xs"))
-    return F.aggregate(samples, start, step, lambda s: s.xs)
+
+    def alone(part: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("t"), none.alias("xs"))
+        step = lambda s, y: F.struct((y + F.lit(c) * s.t).alias("t"), F.concat(s.xs, F.array(y + F.lit(c) * s.t)).alias("xs"))
+        return F.aggregate(part, start, step, lambda s: s.xs)
+
+    last = F.floor((F.size(samples) - 1) / F.lit(block)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: alone(F.slice(samples, k * block + 1, F.lit(block))))
+    start = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<array<double>>").alias("xs"))
+
+    def joined(s: Column, part: Column) -> Column:
+        faded = F.transform(part, lambda x, i: x + s.t * F.pow(F.lit(c), (i + 1).cast("double")))
+        return F.struct(F.coalesce(F.try_element_at(faded, F.lit(-1)), s.t).alias("t"), F.concat(s.xs, F.array(faded)).alias("xs"))
+
+    return F.when(samples.isNotNull(), F.flatten(F.aggregate(blocks, start, joined, lambda s: s.xs)))
 
 
 def amplitude(long: DataFrame, method: str = "peak") -> DataFrame:

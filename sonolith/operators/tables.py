@@ -39,13 +39,43 @@ def features_only(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.drop(*[c for c in METADATA if c not in keep])
 
 
+def numbered(df: DataFrame, order: list[str], into: str, parts: int = 64) -> DataFrame:
+    """Rows numbered from 1 in ``order`` (ascending, nulls first), without a task that sees them all.
+
+    Rows are cut into ranges at the keys of a small sample, numbered within their range, and shifted by the
+    sizes of the ranges before. The sample changes the ranges only, never the numbers.
+    """
+    key = F.struct(*order)
+    cuts = df.select(*order).orderBy(F.rand(7)).limit(parts).distinct()
+    cuts = sorted((r[0] for r in cuts.select(F.struct(key.alias("k")).alias("r")).collect()), key=lambda r: tuple((v is not None, v) for v in r["k"]))
+    schema = df.select(key.alias("k")).schema["k"].dataType
+    types = [f.dataType for f in schema.fields]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(r["k"], types, order, strict=True)]) for r in cuts])
+    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+    rows = rows.withColumn(into, number).join(sizes.select("_range", before.alias("_before")), "_range")
+    return rows.withColumn(into, F.col(into) + F.col("_before")).drop("_range", "_before").select(*[c for c in df.columns if c != into], into)
+
+
+def ranked_within(df: DataFrame, by: str, order: list[str], into: str, size: str) -> DataFrame:
+    """Rows numbered from 1 within their ``by``, and the size of it; a hot value is numbered by many tasks."""
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias(size))  # a row a value
+    before = Window.partitionBy(F.lit(0)).orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    rows = numbered(df, [by, *order], into)
+    out = rows.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn(into, F.col(into) - F.col("_first"))
+    return out.drop("_by", "_first")
+
+
 def numbered_groups(df: DataFrame, key: str, order: str, into: str) -> DataFrame:
     """Dense ids by first appearance in ``order``, from 0; -1 for a null key.
 
     The ids are made on the table of keys (a row each after map-side aggregation) and joined back.
     """
     firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
-    ids = firsts.withColumn(into, F.row_number().over(Window.orderBy("_first")).cast("long") - 1).drop("_first")
+    ids = numbered(firsts, ["_first", key], into).withColumn(into, F.col(into) - 1).drop("_first")
     return df.join(ids, key, "left").withColumn(into, F.coalesce(into, F.lit(-1)).cast("long"))
 
 
@@ -73,6 +103,13 @@ def unmatched(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return df.join(side, key, "left_anti")
 
 
+def sure_lookup(df: DataFrame, side: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``lookup`` that fails when a row has no match."""
+    if missed := unmatched(df, side, key).select(key).first():
+        raise KeyError(f"no {value} for {key} {missed[0]!r}")
+    return lookup(df, side, key, value, order)
+
+
 def merged_features(tables: list[DataFrame], key: str = "file_id", shared: tuple[str, ...] = ("class", "group")) -> DataFrame:
     """Full outer join of feature tables on ``key``; shared metadata from the first table that has it;
     missing features are 0."""
@@ -104,14 +141,13 @@ def merged_results(existing_rows: DataFrame, new: DataFrame, key, order: str) ->
 
 def stratified_sample(df: DataFrame, stratum: str, id_col: str, share: float = 0.15, seed: int = 42) -> DataFrame:
     """max(1, min(int(n * share), n - 1)) rows of each stratum, chosen by a seeded hash of the id."""
-    order = Window.partitionBy(stratum).orderBy(draw_key(seed, F.col(id_col)), id_col)
-    n = F.count("*").over(Window.partitionBy(stratum))
-    wanted = F.greatest(F.lit(1), F.least(F.floor(n * F.lit(share)), n - 1))
-    return df.withColumn("_k", F.row_number().over(order)).withColumn("_wanted", wanted).where("_k <= _wanted").drop("_k", "_wanted")
+    rows = ranked_within(df.withColumn("_draw", draw_key(seed, F.col(id_col))), stratum, ["_draw", id_col], "_k", "_n")
+    wanted = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1))
+    return rows.where(F.col("_k") <= wanted).select(*df.columns)
 
 
 def capped(df: DataFrame, stratum: str, id_col: str, most: int = 750, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows of each stratum."""
+    """At most ``most`` rows of each stratum; tasks keep no more than these before they are exchanged."""
     order = Window.partitionBy(stratum).orderBy(draw_key(seed, F.col(id_col)), id_col)
     return df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
 
@@ -136,18 +172,20 @@ def nested_subsets(files: DataFrame, species: DataFrame, subsets: list[str], sha
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42, into: str = "split") -> DataFrame:
     """Whole groups to test: ceil(share * groups) of them; no group is on both sides."""
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    order = Window.orderBy(draw_key(seed, F.col(group)), group)
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    side = F.when(F.row_number().over(order) <= F.ceil(n * F.lit(share)), "test").otherwise("train")
-    return df.join(groups.withColumn(into, side), group)
+    known = numbered(groups.withColumn("_draw", draw_key(seed, F.col(group))), ["_draw", group], "_k")
+    side = F.when(F.col("_k") <= F.ceil(F.lit(groups.count()) * F.lit(share)), "test").otherwise("train")
+    return df.join(known.select(group, side.alias(into)), group)
 
 
 def row_split(df: DataFrame, id_col: str, share: float = 0.2, seed: int = 42, stratum: str | None = None, into: str = "split") -> DataFrame:
     """ceil(share * n) rows to test, of each stratum if there is one."""
-    by = [stratum] if stratum else [F.lit(0)]
-    order = Window.partitionBy(*by).orderBy(draw_key(seed, F.col(id_col)), id_col)
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn(into, F.when(F.row_number().over(order) <= F.ceil(n * F.lit(share)), "test").otherwise("train"))
+    drawn, order = df.withColumn("_draw", draw_key(seed, F.col(id_col))), ["_draw", id_col]
+    if stratum:
+        rows = ranked_within(drawn, stratum, order, "_k", "_n")
+    else:
+        rows = numbered(drawn, order, "_k").withColumn("_n", F.lit(df.count()))
+    side = F.when(F.col("_k") <= F.ceil(F.col("_n") * F.lit(share)), "test").otherwise("train")
+    return rows.select(*[c for c in df.columns if c != into], side.alias(into))
 
 
 def leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -158,21 +196,20 @@ def leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
 
 def folds(df: DataFrame, id_col: str, label: str, k: int = 3, seed: int = 42, into: str = "fold") -> DataFrame:
     """Stratified folds: rows of a label dealt in turn."""
-    order = Window.partitionBy(label).orderBy(draw_key(seed, F.col(id_col)), id_col)
-    return df.withColumn(into, F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long"))
+    rows = ranked_within(df.withColumn("_draw", draw_key(seed, F.col(id_col))), label, ["_draw", id_col], "_k", "_n")
+    return rows.select(*[c for c in df.columns if c != into], F.pmod(F.col("_k") - 1, F.lit(k)).cast("long").alias(into))
 
 
 def group_folds(df: DataFrame, group: str, k: int = 3, into: str = "fold") -> DataFrame:
     """Whole groups, largest first, dealt in turn."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.desc("_n"), group)
-    return df.join(sizes.withColumn(into, F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long")).drop("_n"), group)
+    known = numbered(sizes.withColumn("_less", -F.col("_n")), ["_less", group], "_k")
+    return df.join(known.select(group, F.pmod(F.col("_k") - 1, F.lit(k)).cast("long").alias(into)), group)
 
 
 def paged(df: DataFrame, order: list[str], size: int, into: str = "page", first: int = 1) -> DataFrame:
     """Pages of ``size`` rows in order."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn(into, (F.floor((n - 1) / F.lit(size)) + first).cast("long"))
+    return numbered(df, order, into).withColumn(into, (F.floor((F.col(into) - 1) / F.lit(size)) + first).cast("long"))
 
 
 def grid(spark, options: dict[str, list]) -> DataFrame:

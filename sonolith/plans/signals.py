@@ -178,7 +178,8 @@ def adaptive_params(spark, d):
 
 
 @query(f"""WITH {_EV}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev),
-f AS (SELECT series_id, f.f AS frame, avg(y * y) AS e FROM n JOIN range(0, 1000) f(f) ON idx >= f.f * 2 AND idx < f.f * 2 + 4 AND f.f * 2 + 4 <= n GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(range(0, max(n))) AS f FROM n GROUP BY series_id),
+f AS (SELECT series_id, f.f AS frame, avg(y * y) AS e FROM n JOIN g f USING (series_id) WHERE idx >= f.f * 2 AND idx < f.f * 2 + 4 AND f.f * 2 + 4 <= n GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY e, frame) AS r, count(*) OVER (PARTITION BY series_id) AS c FROM f),
 l AS (SELECT series_id, 0.5::DOUBLE * avg(e) FILTER (WHERE r <= greatest(floor(c * 0.1::DOUBLE), 1)) + 0.5::DOUBLE * avg(e) FILTER (WHERE r > c - greatest(floor(c * 0.1::DOUBLE), 1)) AS lv FROM r GROUP BY 1),
 a AS (SELECT series_id, frame, frame - row_number() OVER (PARTITION BY series_id ORDER BY frame) AS g FROM f JOIN l USING (series_id) WHERE e >= lv)
@@ -189,7 +190,7 @@ def segments_active(spark, d):
 
 
 @query(f"""WITH {_EV}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n, CASE WHEN idx > 0 AND (y >= 100) <> (lag(y) OVER (PARTITION BY series_id ORDER BY idx) >= 100) THEN 1 ELSE 0 END AS z FROM ev)
-SELECT series_id, f.f::BIGINT AS frame, round(sqrt(avg(y * y)), 5) AS rms, round(avg(z), 6) AS zcr FROM n JOIN range(0, 1000) f(f) ON idx >= f.f * 4 AND idx < f.f * 4 + 8 AND f.f * 4 + 8 <= n GROUP BY 1, 2""")
+SELECT series_id, f.f::BIGINT AS frame, round(sqrt(avg(y * y)), 5) AS rms, round(avg(z), 6) AS zcr FROM n JOIN (SELECT series_id, unnest(range(0, max(n))) AS f FROM n GROUP BY series_id) f USING (series_id) WHERE idx >= f.f * 4 AND idx < f.f * 4 + 8 AND f.f * 4 + 8 <= n GROUP BY 1, 2""")
 def frame_rms_zcr(spark, d):
     long = _events(spark, d)
     above = F.col("y") >= 100

@@ -175,16 +175,18 @@ def results_merge(spark, d):
     return O.merged_results(old, new, ["o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
-@query("""WITH a AS (SELECT user_id AS file_id, min(event_type) AS class, round(avg(value), 6) AS f1 FROM events WHERE value > 200 GROUP BY 1),
-b AS (SELECT user_id AS file_id, min(event_type) AS class, round(max(value), 6) AS f2 FROM events WHERE value < 1 GROUP BY 1),
-c AS (SELECT user_id AS file_id, count(*)::DOUBLE AS f3 FROM events WHERE value > 300 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id AS file_id, min(props) AS class, round(avg(value), 6) AS f1 FROM events WHERE event_type < 'f' GROUP BY 1),
+b AS (SELECT user_id AS file_id, min(props) AS class, round(max(value), 6) AS f2 FROM events WHERE event_type >= 'f' AND event_type < 's' GROUP BY 1),
+c AS (SELECT user_id AS file_id, count(*)::DOUBLE AS f3 FROM events WHERE event_type >= 's' GROUP BY 1)
 SELECT coalesce(a.file_id, b.file_id, c.file_id) AS file_id, coalesce(a.class, b.class) AS class, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2, coalesce(f3, 0) AS f3
 FROM a FULL JOIN b ON a.file_id = b.file_id FULL JOIN c ON c.file_id = coalesce(a.file_id, b.file_id)""")
 def merge_feature_tables(spark, d):
+    """Three feature tables that share out all events by their type."""
     events = table(spark, d, "events").withColumnRenamed("user_id", "file_id")
-    a = events.where("value > 200").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.avg("value"), 6).alias("f1"))
-    b = events.where("value < 1").groupBy("file_id").agg(F.min("event_type").alias("class"), F.round(F.max("value"), 6).alias("f2"))
-    c = events.where("value > 300").groupBy("file_id").agg(F.count("*").cast("double").alias("f3"))
+    kind = F.col("event_type")
+    a = events.where(kind < "f").groupBy("file_id").agg(F.min("props").alias("class"), F.round(F.avg("value"), 6).alias("f1"))
+    b = events.where((kind >= "f") & (kind < "s")).groupBy("file_id").agg(F.min("props").alias("class"), F.round(F.max("value"), 6).alias("f2"))
+    c = events.where(kind >= "s").groupBy("file_id").agg(F.count("*").cast("double").alias("f3"))
     return O.merged_features([a, b, c])
 
 
@@ -194,10 +196,10 @@ def first_match_lookup(spark, d):
     return O.lookup(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", "status", "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def lookup_misses(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return O.unmatched(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey")
+    some = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return O.unmatched(table(spark, d, "orders").select("o_orderkey", "o_custkey"), some, "o_custkey").select("o_orderkey")
 
 
 _OPTIONS = {
@@ -233,10 +235,6 @@ def json_and_templates(spark, d):
     )
 
 
-#: Hyper-parameter grids, values a parameter.
-GRID_SIZES = {"random_forest": 648, "lightgbm": 5184, "xgboost": 786432, "m3gp": 72}
-
-
 @query("SELECT lang, count(*)::BIGINT AS n, coalesce(lang, 'None') || '_' || coalesce(source, 'None') AS composite FROM documents GROUP BY lang, source")
 def composite_keys(spark, d):
     docs = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sonolith.functions import kernels as K
+from sonolith.functions import text as T
 from sonolith.operators import clips as C
+from sonolith.operators import grid
 from sonolith.operators import models as M
 from sonolith.operators import tables as O
 from sonolith.plans import registry
@@ -96,8 +98,11 @@ def test_clip_steps(spark):
     out = C.pipeline(df, C.option_steps({"sampling_rate": "2000", "denoising": "wiener", "pre_emphasis": 0.97, "amplitude_method": "peak", "segmentation": "event"}, True)).collect()
     assert all(np.abs(r["samples"]).max() <= 1 + 1e-9 for r in out if r["samples"])
     assert C.option_steps({"denoising": "none", "pre_emphasis": 0, "bit_depth": None}, True) == []
-    with pytest.raises(ValueError):
-        C.denoised(df, "other")
+    assert C.denoised(df, "spectral_sub").where("status = 'success'").count() == df.count()
+    assert C.segmented(df, "adaptive").where("file_id = 'c0'").count() >= 1
+    for bad in (lambda: C.denoised(df, "other"), lambda: C.targeted(df, channels="five"), lambda: C.targeted(df, format="doc")):
+        with pytest.raises(ValueError):
+            bad()
     more = C.augmented(df, ["gaussian", "unknown"])
     assert more.count() == 2 * df.count() and C.augmented(df, include_original=True).count() == 3 * df.count()
     first, again = (sorted((r["file_id"], str(r["samples"])) for r in C.augmented(df).collect()) for _ in range(2))
@@ -117,12 +122,85 @@ def test_training_tuning_and_grid(spark, tmp_path):
     assert best["n_estimators"] == 2 and f1 > 0.9
     space = M.sampled_space({"a": {"type": "int", "low": 1, "high": 9}, "b": {"type": "float", "low": 0.01, "high": 1, "log": True}, "c": {"type": "bool"}}, 20)
     assert all(1 <= s["a"] <= 9 and 0.01 <= s["b"] <= 1 for s in space)
-    model, found = M.fit_m3gp(table, names, generations=5, n_estimators=3)
-    assert found
-    failures = M.run_grid(clips(spark), [{"denoising": "none", "pre_emphasis": "none"}], ["time"], ["random_forest"], str(tmp_path / "r"), n_estimators=3)
-    assert failures == [] and spark.read.parquet(str(tmp_path / "r")).count() == 1
-    with pytest.raises(ValueError):
-        M.get_model("other")
+    assert M.fitted(table, names, "m3gp", generations=2).expressions
+    fit, test, tested = M.train_simple(table, names, "file_id", n_estimators=3, save_to=str(tmp_path / "m"))
+    again = M.evaluated(M.Fitted.load(str(tmp_path / "m")), test).first()
+    assert again == tested.first() and again["accuracy"] > 0.9
+    assert M.fitted(table, names, top_k=2, method="mutual_info", n_estimators=2).transform(table).count() == table.count()
+    assert M.fitted(table, names, top_k=2, method="pca", n_estimators=2).transform(table).count() == table.count()
+    for bad in (lambda: M.get_model("other"), lambda: M.fitted(table, names, top_k=2, method="other")):
+        with pytest.raises(ValueError):
+            bad()
+    grid = {"a": [1, 2], "b": [1, 2, 3]}
+    assert M.grid_size(grid) == 6 == len(M.drawn_candidates(grid, 6)) and len(M.drawn_candidates({"a": list(range(9))} | grid, 5)) == 5
+
+
+def test_m3gp_does_not_lose_its_best(spark):
+    rng = np.random.default_rng(3)
+    rows = [(*(float(v) for v in x), "ab"[int(x[0] * x[1] > 0)]) for x in rng.normal(size=(300, 3))]
+    df = spark.createDataFrame(rows, "x double, y double, z double, label_id string")
+    shares = []
+    for n in (0, 3, 12):
+        gp = M.M3GP(generations=n, depth=4, seed=1, population=40)
+        found = gp.expressions(df, ["x", "y", "z"])
+        per = [df.selectExpr("label_id", f"{e} AS v").groupBy("label_id").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect() for e in found]
+        share = []
+        for rows in per:
+            w, m, v = (np.array([r[c] for r in rows], float) for c in "nms")
+            between = w @ (m - w @ m / w.sum()) ** 2
+            share.append(between / (between + w @ v))
+        shares.append(np.mean(share) - 0.001 * len(share))
+    assert shares[0] <= shares[1] + 1e-9 and shares[1] <= shares[2] + 1e-9 and shares[2] > 0.3  # x * y tells the classes
+
+
+def test_run_options(spark, tmp_path):
+    options = {
+        "pre_emphasis_coefficients": ["none"], "denoising_methods": ["none"], "segmentation_methods": ["time"],
+        "feature_extractors": ["time", "combined", "nowhere"], "model_names": ["random_forest", "m3gp"], "channels": ["mono"],
+        "models": {"random_forest": {"n_estimators": 3, "max_depth": 3, "n_jobs": -1}, "m3gp": {"max_depth": 4, "max_generation": 1}}, "normalize": True,
+    }
+    path, told = str(tmp_path / "r"), []
+    df = clips(spark).cache()
+    run = lambda o: grid.run_options(df, o, path, str(tmp_path / "w"), hyperparameters={"random_forest": {"param_grid": {"max_depth": [2]}}}, n_splits=1, notify=told.append)
+    failures = run(options)
+    assert len(failures) == 1 and "nowhere" in failures[0], failures
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 4 == len(told) and {(r["domain"], r["model"]) for r in rows} == {(d, m) for d in ("time", "combined") for m in options["model_names"]}
+    assert set(rows[0].asDict()) == {*O.RESULT_KEY, "best_params", "train_time_sec", "test_accuracy", "test_precision", "test_recall", "test_f1_score"} | {
+        f"{m}_{s}" for m in ("accuracy", "f1", "precision", "recall", "train_time_sec") for s in ("mean", "std")}
+    assert all(r["test_accuracy"] > 0.9 for r in rows if r["model"] == "random_forest")
+    assert {r["best_params"] for r in rows if r["model"] == "random_forest"} == {'{"max_depth": 2}'}
+    assert len(run(options)) == 1 and spark.read.parquet(path).count() == 4  # what is recorded isn't run again
+    rocket = {**options, "feature_extractors": ["time"], "model_names": ["minirocket"]}
+    assert run(rocket) == [] and spark.read.parquet(path).where("model = 'minirocket' AND test_accuracy > 0.9").count() == 1
+    sent = df.limit(1).select(F.lit("S").alias("subset"), *[F.lit("x").alias(c) for c in grid.COMBO_FIELDS[1:]]).select(T.combo_tag().alias("t")).first()["t"]
+    assert sent == grid.tag({c: "x" for c in grid.COMBO_FIELDS} | {"subset": "S"}) == "S_x_xHz_xbit_x_Dx__PEx_Ampx_Sx_Augx"
+
+
+def test_results_merge_and_clean_up(spark, tmp_path):
+    path = str(tmp_path / "d" / "results")
+    one = spark.createDataFrame([("b", 1.0), ("a", 2.0)], "model string, f1 double")
+    assert results.save_results(one, path, ("model",)) == 2
+    assert results.save_results(spark.createDataFrame([("a", 9.0), ("c", 3.0)], one.schema), path, ("model",)) == 1
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 2.0), ("b", 1.0), ("c", 3.0)}
+    (tmp_path / "d" / "keep").mkdir()
+    assert results.cleared(spark, str(tmp_path / "d"), ("keep",)) == [] and [p.name for p in (tmp_path / "d").iterdir()] == ["keep"]
+
+
+def test_numbering_without_one_task(spark):
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, a int, id int")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for parts in (2, 64):
+        got = {r["id"]: r["k"] for r in O.numbered(df, ["g", "a", "id"], "k", parts).collect()}
+        assert got == {r[2]: n for n, r in enumerate(order, 1)}
+    within = {r["id"]: (r["k"], r["n"]) for r in O.ranked_within(df, "g", ["a", "id"], "k", "n").collect()}
+    for g in (None, 0, 1, 2):
+        own = [r[2] for r in order if r[0] == g]
+        assert [within[i] for i in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
+    assert O.numbered(df.limit(0), ["a"], "k").collect() == []
+    with pytest.raises(KeyError):
+        O.sure_lookup(df, df.where("id < 5"), "id", "a", "g")
 
 
 def test_options_pass(spark):
