@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.text import COMBO_FIELDS, COMBO_TAG
-from ..sources.results import append_results
+from ..sources.results import append_results, cleared
 from . import clips, models, tables
 
 #: Option lists of the configuration and the fields of a combination that they fill.
@@ -110,6 +110,7 @@ def run_options(
             continue
         try:
             for side in ("train", "test"):
+                cleared(spark, f"{at}/{side}")  # features of another run's clips
                 ready = clips.pipeline(split.where(F.col("split") == side), clips.option_steps(combo, side == "train"))
                 if "status" in ready.columns:
                     ready = clips.split_status(ready)[0]

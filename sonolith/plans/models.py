@@ -31,10 +31,19 @@ for _domain in ("time", "frequency", "cepstral"):
     query()(_features(_domain))
 
 
+def _summed(values):
+    """Size, sum of squares and range of an array."""
+    energy = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
+    return [
+        F.size(values).alias("n"), F.round(energy, 6).alias("energy"), F.round(F.array_min(values), 6).alias("least"), F.round(F.array_max(values), 6).alias("greatest")
+    ]
+
+
 @query()
 def time_frequency_features(spark, d):
     out = C.extracted(_clips(spark, d), ["time_frequency"])
-    return out.select("file_id", "ok", F.size("features").alias("n_features"))
+    values = F.transform(F.array_sort(F.map_entries("features")), lambda e: e.value)
+    return out.withColumn("values", values).select("file_id", "ok", *_summed(F.col("values")))
 
 
 def _denoised(method):
@@ -53,14 +62,14 @@ for _method in K.DENOISE:
 @query()
 def augment(spark, d):
     out = C.augmented(_clips(spark, d))
-    return out.select("file_id", "status", F.size("samples").alias("n"))
+    return out.select("file_id", "status", *_summed(F.col("samples")))
 
 
 @query()
 def preprocess_chain(spark, d):
     steps = C.option_steps({"sampling_rate": "4000", "bit_depth": "16", "denoising": "wiener", "pre_emphasis": "0.97", "amplitude_method": "peak", "segmentation": "time_based"}, False)
     out = C.pipeline(_clips(spark, d), steps)
-    return out.select("file_id", "seg_no", "start_sec", "end_sec", F.size("samples").alias("n"))
+    return out.select("file_id", "seg_no", "start_sec", "end_sec", *_summed(F.col("samples")))
 
 
 _NAMES = [f"f{i:02}" for i in range(64)]
@@ -78,4 +87,4 @@ def random_forest_splits(spark, d):
 
 @query()
 def rocket_features(spark, d):
-    return C.rocket(_clips(spark, d)).select("file_id", F.size("rocket").alias("n"))
+    return C.rocket(_clips(spark, d)).select("file_id", *_summed(F.col("rocket")))

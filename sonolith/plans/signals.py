@@ -199,10 +199,14 @@ def frame_rms_zcr(spark, d):
     return frames.agg(F.round(F.sqrt(F.avg(F.col("y") * F.col("y"))), 5).alias("rms"), F.round(F.avg("z"), 6).alias("zcr"))
 
 
-@query(f"""WITH {_EV}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev)
-SELECT series_id, idx::BIGINT AS idx, round(y, 5) AS y FROM n WHERE idx < (floor((n - 8) / 4) * 4 + 8) AND n >= 8""")
+@query(f"""WITH {_EV}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev),
+f AS (SELECT *, unnest([idx // 4, idx // 4 - 1]) AS f FROM n WHERE n >= 8),
+w AS (SELECT series_id, idx, y, 1 - abs(idx - 4 * f - 3.5::DOUBLE) / 4 AS w FROM f WHERE f >= 0 AND f <= (n - 8) // 4)
+SELECT series_id, idx::BIGINT AS idx, round(sum(y * w) / sum(w * w), 5) AS y FROM w GROUP BY 1, 2""")
 def overlap_add(spark, d):
-    return _rounded(S.overlap_added(S.framed(_events(spark, d), 8, 4), F.lit(1.0)), "y", digits=5)
+    """Frames of 8 with a triangular window, 4 apart."""
+    window = 1 - F.abs(F.col("idx") - 4 * F.col("frame") - 3.5) / 4
+    return _rounded(S.overlap_added(S.framed(_events(spark, d), 8, 4), window), "y", digits=5)
 
 
 @query(f"""WITH {_EV}, p AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS b FROM ev)

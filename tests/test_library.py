@@ -173,6 +173,13 @@ def test_run_options(spark, tmp_path):
     assert len(run(options)) == 1 and spark.read.parquet(path).count() == 4  # what is recorded isn't run again
     rocket = {**options, "feature_extractors": ["time"], "model_names": ["minirocket"]}
     assert run(rocket) == [] and spark.read.parquet(path).where("model = 'minirocket' AND test_accuracy > 0.9").count() == 1
+    louder = df.withColumn("samples", F.transform("samples", lambda x: x * 3)).cache()
+    one = {**options, "feature_extractors": ["time"], "model_names": ["random_forest"], "models": {"random_forest": {"n_estimators": 3}}}
+    assert grid.run_options(louder, one, str(tmp_path / "r3"), str(tmp_path / "w"), n_splits=1) == []
+    stored, fresh = (grid._values(spark.read.parquet(f), "time") if "clips" in f else spark.read.parquet(f) for f in (
+        str(next((tmp_path / "w").glob("S_*")) / "test" / x) for x in ("time", "clips")))
+    same = lambda t: sorted((r["file_id"], r["seg_no"], r["values"]) for r in t.collect())
+    assert same(stored) == same(fresh)  # other recordings in the same folder have features of their own
     sent = df.limit(1).select(F.lit("S").alias("subset"), *[F.lit("x").alias(c) for c in grid.COMBO_FIELDS[1:]]).select(T.combo_tag().alias("t")).first()["t"]
     assert sent == grid.tag({c: "x" for c in grid.COMBO_FIELDS} | {"subset": "S"}) == "S_x_xHz_xbit_x_Dx__PEx_Ampx_Sx_Augx"
 
