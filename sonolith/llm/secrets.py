@@ -3,8 +3,8 @@
 Three base rules are regular expressions. The entropy rule looks for what they miss: in every candidate
 string (a run of token characters) a window slides by one character; its Shannon entropy comes from
 counts that change by one character in and one out per step. Each character class has its own window
-threshold. An allow-list suppresses candidates that are no secrets: without a letter beside a digit
-(words, numbers, paths of words), UUIDs, runs in alphabet order, and what the caller adds.
+threshold. An allow-list suppresses stretches that are no secrets: UUIDs, runs in alphabet order, paths of
+words, and what the caller adds; what it leaves without a letter beside a digit (words, numbers) is none either.
 
 Everything is a narrow projection: no shuffle, no Python, one pass over the text; the parts beyond the
 first pattern test are computed for matching rows only.
@@ -39,6 +39,7 @@ CLASSES = (("hex", "^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("alnum", "^[A-Za-z0-9]+$",
 ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)abcdefghijklm|0123456789|aaaaaaaa|00000000|xxxxxxxx|example",
+    "(?:[0-9]{0,4}[a-z]{2,}[/_-]){2,64}",
 )
 _BLOCK = 256
 
@@ -192,14 +193,10 @@ def _pieces(runs: Column, base: Column, allowed: str) -> Column:
     return long(F.transform(long(F.transform(runs, outside_base)), outside_allowed))
 
 
-def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...], pieces: bool) -> Column:
+def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
     mixed, allowed = "[A-Za-z][0-9]|[0-9][A-Za-z]", "|".join(f"(?:{a})" for a in allow)
     runs = F.filter(_matches(text, CANDIDATE), lambda s: s.text.rlike(mixed))
-    if pieces:
-        suspects = F.filter(_pieces(runs, base, allowed), lambda s: s.text.rlike(mixed))
-    else:
-        suspects = F.filter(runs, lambda s: ~s.text.rlike(allowed))
-        suspects = F.filter(suspects, lambda s: ~F.exists(base, lambda b: (b.start < s.stop) & (s.start < b.stop)))
+    suspects = F.filter(_pieces(runs, base, allowed), lambda s: s.text.rlike(mixed))
 
     def scored(s: Column) -> Column:
         bits = F.coalesce(*[F.when(s.text.rlike(p), F.lit(t)) for _, p, t in CLASSES])
@@ -216,25 +213,23 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...], pieces: b
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def find_secrets(
-    docs: DataFrame, text_col: str = "text", into: str = "secrets", allow: tuple[str, ...] = (), pieces: bool = False,
-) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", allow: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with a column ``into``: array of (start, rank, stop, kind), sorted; code points, end exclusive.
 
     Kinds are assign, access, hex (leftmost non-overlapping each, short ones dropped) and entropy, which
     never overlaps a base span. Null and empty texts have an empty array, rows are kept as they are, also
-    repeated ones; a column that is already named ``into`` is replaced. ``allow`` adds patterns to the
-    allow-list of the entropy rule; base rules are never suppressed. A candidate that a base span or an
-    allowed string touches is passed over whole, as in ORACLE_SQL; with ``pieces`` only these stretches
-    are cut out and the windows of every piece left are scored, so a secret beside them is found. Patterns
-    of ``allow`` must then match more than the empty string.
+    repeated ones; texts of any length are scanned whole; an empty table stays empty; a column that is
+    already named ``into`` is replaced. ``allow`` adds patterns to the allow-list of the entropy rule; they
+    must match more than the empty string. Base rules are never suppressed. Base spans and allowed
+    stretches are cut out of a candidate, and the windows of every piece left are scored, so a secret
+    beside them is found. A string of letters only is no candidate, however random.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     taken = {c.lower() for c in docs.columns} | {into.lower()}
     own = [next(n for i in range(9999) if (n := f"_{k}{i}") not in taken) for k in ("base", "secret")]
     base = F.array_sort(F.concat(*[_rule(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE_RULES)]))
     found = docs.withColumn(own[0], base)
-    extra = _entropy_spans(text, F.col(own[0]), ALLOW + tuple(allow), pieces)
+    extra = _entropy_spans(text, F.col(own[0]), ALLOW + tuple(allow))
     return found.withColumn(own[1], F.array_sort(F.concat(F.col(own[0]), extra))).drop(
         own[0], *[c for c in docs.columns if c.lower() == into.lower()]
     ).withColumnRenamed(own[1], into)
@@ -268,37 +263,51 @@ def _oracle() -> str:
     def sql(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    def placed(pattern: str) -> str:
+    def placed(pattern: str, of: str = "docs") -> str:
+        """The columns of ``of`` and f: text t of a match, its first position a in ``text``."""
         found, parts = f"regexp_extract_all(text, {sql(pattern)})", f"string_split_regex(text, {sql(pattern)})"
         return (
-            f"(SELECT doc_id, row_no, unnest(list_transform(m, lambda x, i: {{'t': x, 'a': list_sum(list_transform(p[1:i], lambda y: length(y)))"
+            f"(SELECT * EXCLUDE (m, p), unnest(list_transform(m, lambda x, i: {{'t': x, 'a': list_sum(list_transform(p[1:i], lambda y: length(y)))"
             f" + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)}})) AS f"
-            f" FROM (SELECT doc_id, row_no, {found} AS m, {parts} AS p FROM docs) WHERE len(m) > 0)"
+            f" FROM (SELECT *, {found} AS m, {parts} AS p FROM {of}) WHERE len(m) > 0)"
         )
 
+    def left(of: str, taken: str) -> str:
+        """What ``taken`` (row_no, pos, a, b) leaves of ``of`` (row_no, pos, text), as rows of the same columns."""
+        return f"""
+  SELECT row_no, low AS pos, substr(text, low - pos + 1, high - low) AS text FROM (
+    SELECT row_no, pos, text, a AS high, greatest(pos, coalesce(max(b) OVER (
+      PARTITION BY row_no, pos ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), pos)) AS low
+    FROM (SELECT o.*, t.a, t.b FROM {of} o JOIN {taken} t USING (row_no, pos) UNION ALL
+          SELECT o.*, pos + length(text), pos + length(text) FROM {of} o))
+  WHERE high - low >= {WINDOW}"""
+
     rules = []
     for rank, (kind, pattern, group, least) in enumerate(BASE_RULES):
         rules.append(
-            f"SELECT doc_id, row_no, {rank} AS rank, '{kind}' AS kind, f.a::BIGINT AS a, (f.a + length(f.t))::BIGINT AS b FROM {placed(pattern)}"
+            f"SELECT row_no, {rank} AS rank, '{kind}' AS kind, f.a::BIGINT AS a, (f.a + length(f.t))::BIGINT AS b FROM {placed(pattern)}"
             f" WHERE length(regexp_extract(f.t, {sql(pattern)}, {group})) >= {least}"
         )
-    allowed = " OR ".join(f"regexp_matches(f.t, {sql(p)})" for p in ALLOW)
-    bits = "CASE " + " ".join(f"WHEN regexp_matches(f.t, {sql(p)}) THEN {t}" for _, p, t in CLASSES) + " END"
+    # A match of a pattern for whole pieces takes the piece out; the others' matches are cut out of it.
+    allowed = "|".join(f"(?:{p})" for p in ALLOW if not p.startswith("^"))
+    whole = " OR ".join(f"regexp_matches(text, {sql(p)})" for p in ALLOW if p.startswith("^"))
+    bits = "CASE " + " ".join(f"WHEN regexp_matches(text, {sql(p)}) THEN {t}" for _, p, t in CLASSES) + " END"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k, *_ in BASE_RULES)
     joined_as = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank){}, '')"
     return f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents),
 base AS ({" UNION ALL ".join(rules)}),
-suspects AS (
-  SELECT s.doc_id, s.row_no, f.a, f.t, {bits} AS bits FROM {placed(CANDIDATE)} s
-  WHERE regexp_matches(f.t, '[A-Za-z][0-9]|[0-9][A-Za-z]') AND NOT ({allowed})
-    AND NOT EXISTS (FROM base b WHERE b.row_no = s.row_no AND b.a < s.f.a + length(s.f.t) AND s.f.a < b.b)),
+runs AS (SELECT row_no, f.a::BIGINT AS pos, f.t AS text FROM {placed(CANDIDATE)}),
+near AS (SELECT r.row_no, r.pos, b.a, b.b FROM runs r JOIN base b ON b.row_no = r.row_no AND b.a < r.pos + length(r.text) AND r.pos < b.b),
+outside AS (FROM ({left("runs", "near")}) WHERE NOT ({whole})),
+listed AS (SELECT row_no, pos, (pos + f.a)::BIGINT AS a, (pos + f.a + length(f.t))::BIGINT AS b FROM {placed(allowed, "outside")}),
+pieces AS (FROM ({left("outside", "listed")}) WHERE regexp_matches(text, '[A-Za-z][0-9]|[0-9][A-Za-z]')),
 hot AS (
-  SELECT doc_id, row_no, a, list_filter(range(1, length(t) - {WINDOW} + 2),
-    lambda i: list_entropy(string_split(substr(t, i, {WINDOW}), '')) >= bits - 1e-9) AS h FROM suspects),
+  SELECT row_no, pos, list_filter(range(1, length(text) - {WINDOW} + 2),
+    lambda i: list_entropy(string_split(substr(text, i, {WINDOW}), '')) >= bits - 1e-9) AS h FROM (SELECT *, {bits} AS bits FROM pieces)),
 spans AS (
   FROM base UNION ALL
-  SELECT doc_id, row_no, {len(BASE_RULES)}, 'entropy', (a + h[1] - 1)::BIGINT, (a + h[-1] - 1 + {WINDOW})::BIGINT FROM hot WHERE len(h) > 0)
+  SELECT row_no, {len(BASE_RULES)}, 'entropy', (pos + h[1] - 1)::BIGINT, (pos + h[-1] - 1 + {WINDOW})::BIGINT FROM hot WHERE len(h) > 0)
 SELECT d.doc_id, {counts}, sha256({joined_as.format(f" FILTER (rank < {len(BASE_RULES)})")}) AS base_sha256, {joined_as.format("")} AS spans
 FROM docs d LEFT JOIN spans s ON s.row_no = d.row_no GROUP BY d.doc_id, d.row_no
 """
