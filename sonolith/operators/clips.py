@@ -185,6 +185,18 @@ def augmented(clips: DataFrame, methods: list[str] | None = None, copies: int =
     return same.unionByName(out, allowMissingColumns=True) if include_original else out
 
 
+def kernel_rows(clips: DataFrame, f) -> DataFrame:
+    """(file_id, name, frame, value) of what ``f`` (samples, rate) gives: rows over frames by name."""
+
+    @F.pandas_udf("array<struct<name:string,values:array<double>>>")
+    def run(samples: pd.Series, rate: pd.Series) -> pd.Series:
+        found = (f(np.asarray(y, float), int(sr)) for y, sr in zip(samples, rate, strict=True))
+        return pd.Series([[{"name": k, "values": np.asarray(v, float).tolist()} for k, v in rows.items()] for rows in found])
+
+    rows = clips.select("file_id", F.explode(run("samples", "sr")).alias("r"))
+    return rows.select("file_id", F.col("r.name").alias("name"), F.posexplode("r.values").alias("frame", "value"))
+
+
 def extracted(clips: DataFrame, domains: list[str] = ("time",)) -> DataFrame:
     """``clips`` without samples, with ``features`` (map of name to value), ok and error; one pass for all domains."""
     known = [K.EXTRACTORS[d] for d in domains]

@@ -27,7 +27,29 @@ def _features(domain):
     return run
 
 
-for _domain in ("time", "frequency", "cepstral"):
+def _stats4(of, name):
+    """SQL for mean, deviation, skewness and excess kurtosis of each file's ``of``; higher moments of next to none are 0."""
+    c = f"({of} - m_{name})"
+    var = f"avg({c} * {c})"
+    high = [f"CASE WHEN {var} >= 1e-10 THEN avg({c} ** {p}) / {var} ** {p / 2}{less} ELSE 0 END AS {name}_{n}" for n, p, less in (("skew", 3, ""), ("kurt", 4, " - 3"))]
+    return f"avg({of}) AS {name}_mean, sqrt({var}) AS {name}_std, {', '.join(high)}"
+
+
+_TIME = f"""WITH y AS (SELECT vec_id AS file_id, i, embedding[i % 64 + 1]::DOUBLE AS y, embedding[(i + 1) % 64 + 1]::DOUBLE AS z FROM embeddings, range(2048) t(i)),
+f AS (SELECT file_id, t, sqrt(sum(y * y) FILTER (i + 1024 BETWEEN 512 * t AND 512 * t + 2047) / 2048) AS rms,
+  count(*) FILTER ((y < 0) <> (z < 0) AND i < 2047 AND i + 1025 BETWEEN 512 * t + 1 AND 512 * t + 2047) / 2048 AS zcr FROM y, range(5) r(t) GROUP BY ALL),
+e AS (SELECT file_id, {_stats4("rms", "envelope")}, {_stats4("zcr", "zcr")} FROM (SELECT *, avg(rms) OVER w AS m_envelope, avg(zcr) OVER w AS m_zcr FROM f WINDOW w AS (PARTITION BY file_id)) GROUP BY 1),
+c AS (SELECT *, y - avg(y) OVER w AS c, min(y) OVER w AS lo, max(y) OVER w AS hi FROM y WINDOW w AS (PARTITION BY file_id)),
+h AS (SELECT file_id, -sum(d * log2(d)) AS entropy FROM (SELECT file_id, least(floor((y - lo) / (hi - lo) * 100), 99) AS bin, count(*) / (2048 * (any_value(hi) - any_value(lo)) / 100) AS d FROM c GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT file_id, avg(y) AS mean_amplitude, median(y) AS median_amplitude, sqrt(avg(c * c)) AS std_amplitude, min(y) AS min_amplitude, max(y) AS max_amplitude,
+  max(abs(y)) AS peak_amplitude, max(y) - min(y) AS peak_to_peak, avg(c * c) AS variance, avg(abs(c)) AS mean_absolute_deviation, avg(y * y) AS signal_energy,
+  sqrt(avg(c * c)) / (sqrt(avg(y * y)) + 1e-10) AS nrmsd, 10 * log10(sum(y * y) / (sum(c * c) + 1e-10)) AS snr, corr(y, z) FILTER (i < 2047) AS autocorrelation,
+  avg(c ** 3) / avg(c * c) ** 1.5 * sqrt(2048 * 2047) / 2046 AS skewness, 2047 / (2046 * 2045) * (2049 * (avg(c ** 4) / avg(c * c) ** 2 - 3) + 6) AS kurtosis FROM c GROUP BY 1),
+r AS (SELECT a.*, e.* EXCLUDE (file_id), entropy, peak_amplitude / (envelope_mean + 1e-10) AS peak_to_rms_ratio FROM a JOIN e USING (file_id) JOIN h USING (file_id))
+SELECT file_id, label, true AS ok, feature, round(value, 6) AS value FROM (UNPIVOT r ON COLUMNS(* EXCLUDE (file_id)) INTO NAME feature VALUE value) JOIN (SELECT vec_id AS file_id, label FROM embeddings) USING (file_id)"""
+
+query(_TIME)(_features("time"))
+for _domain in ("frequency", "cepstral"):
     query()(_features(_domain))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, models, signals, tables  # noqa: F401  (they register their queries)
+from . import features, kernels, models, signals, tables  # noqa: F401  (they register their queries)
 from .common import ORACLE, QUERIES
 
 
